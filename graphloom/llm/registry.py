@@ -8,6 +8,7 @@ import importlib
 MODULES = (
     "url_filters",
     "license_scan",
+    "packing",
 )
 
 
