@@ -9,6 +9,7 @@ MODULES = (
     "url_filters",
     "license_scan",
     "packing",
+    "decontaminate",
 )
 
 
