@@ -10,6 +10,7 @@ MODULES = (
     "license_scan",
     "packing",
     "decontaminate",
+    "jaccard_join",
 )
 
 
