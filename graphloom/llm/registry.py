@@ -11,6 +11,7 @@ MODULES = (
     "packing",
     "decontaminate",
     "jaccard_join",
+    "topk_search",
 )
 
 
