@@ -72,3 +72,35 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns; others, whatever their names, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Tables up to so many rows are broadcast where a join allows it; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def with_text(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds text to rows of (id, h, ...), one for each (id, h), from docs (id, h, text).
+
+    h is a hash of the text, so repeated ids keep their own texts. Texts of other
+    documents are left out before anything is shuffled.
+    """
+    same = (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))
+    ids = small(keyed.select(F.col("id").alias("i"), F.col("h").alias("g")))
+    texts = docs.join(ids, same, "left_semi").dropDuplicates(["id", "h"])
+    return texts.join(keyed.withColumnsRenamed({"id": "i", "h": "g"}), same).drop("i", "g")
+
+
+def runs_by_bytes(texts: list[bytes], limit: int = 1 << 21) -> list[slice]:
+    """Consecutive texts of at most ``limit`` bytes together; a longer text is alone."""
+    out, at, size = [], 0, 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t) > limit:
+            out.append(slice(at, k))
+            at, size = k, 0
+        size += len(t) + 1
+    return [*out, slice(at, len(texts))] if texts else []

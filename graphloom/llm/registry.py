@@ -12,6 +12,7 @@ MODULES = (
     "decontaminate",
     "jaccard_join",
     "topk_search",
+    "substring_dedup",
 )
 
 

@@ -85,3 +85,31 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     return np.unique(window_hash(words, min(n, len(words))))
+
+
+def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` consecutive values, from block-wise prefix and suffix minima."""
+    n = len(v)
+    if n < width:
+        return v[:0]
+    padded = np.full(-(-n // width) * width, np.iinfo(v.dtype).max, v.dtype)
+    padded[:n] = v
+    blocks = padded.reshape(-1, width)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[: n - width + 1], before[width - 1 : n])
+
+
+def prefix_hash(h: np.ndarray) -> np.ndarray:
+    """Running sums from which ``range_hash`` takes the hash of any range."""
+    with np.errstate(over="ignore"):
+        total = np.empty(len(h) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(h * powers(len(h)), out=total[1:])
+    return total
+
+
+def range_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        got = (total[end] - total[start]) * powers(len(total), True)[start]
+        return mix(got + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
