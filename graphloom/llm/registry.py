@@ -13,6 +13,7 @@ MODULES = (
     "jaccard_join",
     "topk_search",
     "substring_dedup",
+    "suffix_dedup",
 )
 
 
