@@ -14,6 +14,7 @@ MODULES = (
     "topk_search",
     "substring_dedup",
     "suffix_dedup",
+    "quality",
 )
 
 
