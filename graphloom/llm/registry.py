@@ -15,6 +15,7 @@ MODULES = (
     "substring_dedup",
     "suffix_dedup",
     "quality",
+    "pii",
 )
 
 
