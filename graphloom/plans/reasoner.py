@@ -68,9 +68,10 @@ class Reasoner:
             given = self.asserted.dropna().distinct()
             if self.identity == "lexical":
                 given = merge_lexical(given).distinct()
-            base = given
+            given = base = written(given)
             if self.axioms:
                 base = _union(given, R.axioms(self.spark, self.vocab), R.membership_axioms(S.membership_properties(given), self.vocab)).distinct()
+                base = written(base)
             derived = self._derive(base)
             while self.mode == "complete":
                 grown = written(_union(base, derived).distinct())
@@ -102,11 +103,14 @@ class Reasoner:
             if more.isEmpty():
                 break
             sp = written(closed.unionByName(more))
+        # every later phase reads the inherited triples; written once, they are not derived again for each
+        inherited = written(inherited.distinct())
         out = [inherited, closed.select(F.col("sub").alias("s"), F.lit(V.SUB_PROPERTY).alias("p"), F.col("sup").alias("o"))]
         plain2, types2, schema2 = S.route(inherited)
         plain, types = _union(plain, plain2), _union(types, types2)
         schema = lambda p: S.edges(base, p).unionByName(S.edges(schema2, p)).distinct()
         typed = _union(R.rdfs2(plain, schema(V.DOMAIN)), R.rdfs3(plain, schema(V.RANGE)))
+        typed = written(typed.distinct())
         types = _union(types, typed)
         sub_class = R.rdfs11(schema(V.SUB_CLASS), on_cycle=self.on_cycle)
         above = R.rdfs9(types, sub_class)

@@ -118,7 +118,10 @@ class Parser:
 
     def _resolved(self, raw: str) -> str:
         ref = _unescaped(raw)
-        return urljoin(self.base, ref) if self.base and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", ref) else ref
+        if not self.base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", ref):
+            return ref
+        # urljoin leaves out an empty fragment, which prefixes often end with
+        return urljoin(self.base, ref) + ("#" if ref.endswith("#") else "")
 
     def _statement(self) -> None:
         word = self.value.lower()
