@@ -53,6 +53,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
         df.write.mode("overwrite").parquet(path)
+        # the shuffle files of what was written go when the driver's JVM finds them unreachable
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -30,6 +30,25 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> U(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _counts(s: np.ndarray) -> bytes:
+    """How many shingles fall in each of about n/4 buckets; empty where a count does not fit a byte."""
+    bits = max(0, int(len(s)).bit_length() - 3)
+    got = np.bincount((s & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return got.astype(np.uint8).tobytes() if got.max(initial=0) < 256 else b""
+
+
+def _most(x: bytes, y: bytes) -> float:
+    """No two sets with these counts have more shingles in common."""
+    if not x or not y:
+        return np.inf
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.minimum(a, b).sum())
+
+
 def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
     """Documents that hold a shingle of each bucket, counted over all rows."""
 
@@ -60,7 +79,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many pairs as there are postings. Round two takes only pairs of one list that
     are not yet in one component; where both were compared with one hub, bounds on
     their overlap follow from the hub's answers, and pairs that cannot qualify are
-    skipped. All other pairs are compared on their whole sets, so no link between
+    skipped. In both rounds counts by hash bucket rule out pairs that cannot have
+    the overlap; all others are compared on their whole sets, so no link between
     different components is lost.
 
     Plan: two scans for counts and prefixes, a count by shingle, joins on shingle,
@@ -86,7 +106,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, sig1, sig2, sizes = [], [], [], []
+            out, sig1, sig2, sizes, counted = [], [], [], [], []
             for s in _sets(batch, n):
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 order = np.lexsort((s, level.value[_bucket(s)]))[:keep]
@@ -95,13 +115,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     sig1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                     sig2.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                 sizes.append(len(s))
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n": np.array(sizes, np.int64), "sig1": np.array(sig1, np.int64), "sig2": np.array(sig2, np.int64), "prefix": out})
+                counted.append(_counts(s))
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n": np.array(sizes, np.int64), "sig1": np.array(sig1, np.int64), "sig2": np.array(sig2, np.int64), "prefix": out, "counts": counted})
 
-    rows = docs.mapInPandas(prefixes, f"id {kind}, h long, n long, sig1 long, sig2 long, prefix array<long>")
+    rows = docs.mapInPandas(prefixes, f"id {kind}, h long, n long, sig1 long, sig2 long, prefix array<long>, counts binary")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     sig = ["sig1", "sig2", "n"]
     classes = scratch.save(rows.filter("n > 0").groupBy(*sig).agg(F.min("row").alias("c")), "classes")
-    sets = rows.join(classes.select(F.col("c").alias("row")), "row").select(F.col("row").alias("c"), "id", "h", "n", "prefix")
+    sets = rows.join(classes.select(F.col("c").alias("row")), "row").withColumnRenamed("row", "c")
+    info = scratch.save(sets.select("c", "id", "h", "n", "counts"), "info")
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
     posts = scratch.save(sets.select("c", "n", band.alias("band"), F.posexplode("prefix").alias("i", "tok")), "postings")
     shared = posts.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("tok")
@@ -123,11 +145,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = named(posts, "x").join(hubs.withColumnRenamed("tok", "t"), (F.col("tok") == F.col("t")) & (F.col("bandx") == F.col("near")) & ok)
     first = scratch.save(first.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), "pairs1")
 
-    where = sets.select("c", "id", "h")
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that the counts by bucket do not rule out."""
+        side = lambda k: info.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+        both = pairs.join(side("x"), "x").join(side("y"), "y")
+
+        def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                need = -(-percent * (batch["nx"].to_numpy() + batch["ny"].to_numpy()) // (100 + percent))
+                keep = [_most(x, y) >= k for x, y, k in zip(batch["cx"], batch["cy"], need, strict=True)]
+                yield batch.loc[np.array(keep, bool), ["x", "y"]]
+
+        return scratch.save(both.mapInPandas(prune, "x long, y long"), name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """(x, y, o): the overlap of each pair's whole sets; x <> y. Order by y keeps a hub's set at hand."""
-        who = scratch.save(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct().join(where, "c"), f"{name}-who")
+        """(x, y, o): the overlap of the whole sets of each pair that is possible; x <> y. Order by y keeps a hub's set at hand."""
+        pairs = possible(pairs, f"{name}-possible")
+        ids = pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct()
+        who = scratch.save(ids.join(info, "c").select("c", "id", "h"), f"{name}-who")
         if who.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
             who = F.broadcast(who)
         w = who.select("c", F.col("id").alias("wid"), F.col("h").alias("wh"))
@@ -146,9 +181,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pd.DataFrame({"x": batch["x"], "y": batch["y"], "o": o})
 
         out = both.select("x", "y", "tx", "ty").mapInPandas(overlap, "x long, y long, o long")
-        return scratch.save(out, name)
+        out = scratch.save(out, name)
+        scratch.drop(f"{name}-texts")
+        return out
 
-    size = sets.select("c", "n")
+    size = info.select("c", "n")
     done = verified(first, "overlaps1")
 
     def links(v: DataFrame) -> DataFrame:
@@ -167,7 +204,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     derived = F.coalesce((F.col("hubx") == F.col("huby")) & (reach < need), F.lit(False))
     met = named(lists, "x").join(named(lists, "y").withColumnRenamed("tok", "t"), (F.col("tok") == F.col("t")) & (F.col("compx") < F.col("compy")) & ok & ~derived)
     second = met.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    second = second.join(done.select("x", "y"), ["x", "y"], "left_anti").join(done.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
+    second = second.join(first, ["x", "y"], "left_anti").join(first.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
     second = scratch.save(second, "pairs2")
     edges = scratch.save(edges.unionByName(links(verified(second, "overlaps2"))), "links2")
     comp = scratch.save(components(edges, scratch, "cc2"), "components2")
@@ -177,7 +214,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = scratch.save(member, "members")
     least = member.groupBy("comp").agg(F.min("id").alias("component_id"))
     out = member.join(least, "comp").select("id", "n", "component_id").unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    scratch.drop("shared", "open", "overlaps1-texts", "overlaps2-texts")
+    scratch.drop("shared", "open", "info")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
