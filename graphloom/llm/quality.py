@@ -97,7 +97,7 @@ def _gradients(w: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> dict:
     """Weights from whole texts and their 0/1 labels; both classes weigh the same."""
     rng = np.random.default_rng(seed)
-    x, first = passages(texts)
+    x, first = passages(texts or [b""])
     x = x.astype(np.float64)
     w = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-3}
     for name, shape in (("w1", (FEATURES, HIDDEN)), ("v", (HIDDEN, HIDDEN)), ("u", (HIDDEN, HIDDEN)), ("a", (HIDDEN,)), ("w2", (HIDDEN,))):
