@@ -67,7 +67,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, anchors: Anchors, windows: W
     """(rows, removed) for docs (id, h, text).
 
     rows: id, h, n (tokens), digest (of the text with nothing removed). removed: id,
-    h, spans: array of (s, e), window starts from s to e whose window also starts
+    h, s, e: two arrays, window starts from s to e whose window also starts
     elsewhere: in a document with a smaller id (keep="document"), earlier in the order
     of id and place (keep="first"), or anywhere (keep="none").
 
@@ -90,6 +90,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, anchors: Anchors, windows: W
     taken = rows if keep == "none" else rows.filter("id IS NOT NULL")
     found = taken.select("id", "h", F.inline(F.arrays_zip("sym", "u", "lo", "len")))
     several = taken.select(F.explode("sym").alias("sym")).groupBy("sym").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sym")
+    several = scratch.save(several, "several")  # a table of its own, so that Spark can split hot symbols in the join
     shared = scratch.save(found.join(several, "sym"), "shared")
     place = F.struct("id", "lo", "h", "len")
     classes = shared.groupBy("sym", "u").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"))
@@ -98,23 +99,26 @@ def find_repeats(docs: DataFrame, scratch: Scratch, anchors: Anchors, windows: W
     multi = classes.join(multi, "sym").select("sym", "c", "n", "k", "f")
     multi = scratch.save(multi, "multi")
 
-    by_doc = multi.select("c", "sym", "k", "f").groupBy(F.col("f.id").alias("id"), F.col("f.h").alias("h")).agg(F.collect_list(F.struct("c", "sym", "k", F.col("f.lo").alias("lo"), F.col("f.len").alias("len"))).alias("at"))
+    one = F.struct(F.col("f.lo").alias("lo"), F.col("f.len").alias("len"), "c", "sym", "k")
+    by_doc = multi.groupBy(F.col("f.id").alias("id"), F.col("f.h").alias("h")).agg(F.array_sort(F.collect_list(one)).alias("at"))
     by_doc = with_text(by_doc, docs)  # at most a document's anchors in one array
-    if contexts is not None:
-        few = by_doc.withColumn("at", F.filter("at", lambda x: x["k"] <= most)).filter(F.size("at") > 0)
-        by_doc = by_doc.withColumn("at", F.filter("at", lambda x: x["k"] > most)).filter(F.size("at") > 0)
+
+    def parted(keep) -> DataFrame:
+        """The anchors that keep says, as arrays of numbers, which reach Python fast."""
+        return by_doc.withColumn("at", F.filter("at", keep)).filter(F.size("at") > 0).select("id", "text", "at.c", "at.sym", "at.lo", "at.len")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = as_bytes(batch["text"])
+            texts, out = as_bytes(batch["text"]), []
             for s in runs_by_bytes(texts):
-                at = [sorted(x, key=lambda y: y["lo"]) for x in batch["at"].iloc[s]]
-                ranges = [np.concatenate([np.arange(y["lo"], y["lo"] + y["len"]) for y in x]) for x in at]
-                for x, (w1, w2) in zip(at, windows(texts[s], ranges), strict=True):
-                    size = [y["len"] for y in x]
-                    yield pd.DataFrame({"c": np.repeat([y["c"] for y in x], size), "j": np.concatenate([np.arange(z, dtype=np.int32) for z in size]), "w1": w1, "w2": w2})
-
-    wins = by_doc.select("text", "at").mapInPandas(hashed, "c long, j int, w1 long, w2 int")
+                part = batch.iloc[s]
+                ranges = [np.concatenate([np.arange(a, a + n) for a, n in zip(lo, size, strict=True)]) for lo, size in zip(part["lo"], part["len"], strict=True)]
+                for c, size, (w1, w2) in zip(part["c"], part["len"], windows(texts[s], ranges), strict=True):
+                    out.append((np.repeat(c, size), np.concatenate([np.arange(n, dtype=np.int32) for n in size]), w1, w2))
+            if out:
+                yield pd.DataFrame(dict(zip(("c", "j", "w1", "w2"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    wins = parted(lambda x: x["k"] > (most if contexts is not None else 0)).select("text", "c", "lo", "len").mapInPandas(hashed, "c long, j int, w1 long, w2 int")
     wins = scratch.save(wins, "windows")
     first = {"document": F.struct(F.col("f.id").alias("id")), "first": F.struct(F.col("f.id").alias("id"), F.col("f.lo").alias("lo"), F.col("f.h").alias("h"))}.get(keep, F.lit(0))
     if keep == "none":
@@ -127,7 +131,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, anchors: Anchors, windows: W
         hit = wins.join(again, ["w1", "w2"]).filter("o > least").select("c", "j")
     hit = hit.groupBy("c").agg(F.array_sort(F.collect_set("j")).alias("js"))  # at most an anchor's windows
     if contexts is not None:
-        hit = hit.unionByName(scratch.save(contexts(few, scratch), "in-context"))
+        hit = hit.unionByName(scratch.save(contexts(parted(lambda x: x["k"] <= most), scratch), "in-context"))
 
     hit = scratch.save(hit, "hits")
     info = classes.join(hit, "c", "left").filter("n > 1 OR js IS NOT NULL").select(F.col("sym").alias("s1"), F.col("u").alias("u1"), "n", "f", "js")
@@ -138,26 +142,30 @@ def find_repeats(docs: DataFrame, scratch: Scratch, anchors: Anchors, windows: W
         whole = F.col("id") > F.col("f.id")
     else:
         whole = F.struct("id", "lo", "h") > F.struct("f.id", "f.lo", "f.h")
-    spans = F.when(whole, F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("len") - 1).alias("e")))).otherwise(
-        F.transform("js", lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j).alias("e")))
-    )
-    removed = occurring.select("id", "h", spans.alias("spans")).filter(F.size("spans") > 0)
-    removed = removed.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    last = F.col("lo") + F.col("len") - 1
+    # runs of consecutive window starts, as two arrays of numbers
+    starts = F.filter("js", lambda j: ~F.array_contains("js", j - 1))
+    ends = F.filter("js", lambda j: ~F.array_contains("js", j + 1))
+    move = lambda js: F.transform(js, lambda j: F.col("lo") + j)
+    spans = F.struct(F.when(whole, F.array("lo")).otherwise(move(starts)).alias("s"), F.when(whole, F.array(last)).otherwise(move(ends)).alias("e"))
+    removed = occurring.select("id", "h", spans.alias("x")).filter(F.size("x.s") > 0)
+    removed = removed.groupBy("id", "h").agg(F.collect_set("x").alias("x"))  # equal rows with one id count once
+    removed = removed.select("id", "h", F.flatten("x.s").alias("s"), F.flatten("x.e").alias("e"))
     removed = scratch.save(removed, "removed")
-    scratch.drop("shared", "classes", "multi", "windows", "ordered", "in-context", "hits")
+    scratch.drop("several", "shared", "classes", "multi", "windows", "ordered", "in-context", "hits")
     return rows, removed
 
 
-def covered(spans, n: int, width: int) -> np.ndarray:
-    """Which of n tokens lie in a window that starts within a span."""
+def covered(s: np.ndarray, e: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n tokens lie in a window that starts in one of the ranges from s to e."""
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, [x["s"] for x in spans], 1)
-    np.add.at(change, [x["e"] + width for x in spans], -1)
+    np.add.at(change, s, 1)
+    np.add.at(change, e + width, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def apply_removal(docs: DataFrame, rows: DataFrame, removed: DataFrame, cut: Callable[[bytes, list], tuple], extra: str) -> DataFrame:
-    """rows with what ``cut`` (text, spans) returns for documents with spans; one row for each document.
+def apply_removal(docs: DataFrame, rows: DataFrame, removed: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple], extra: str) -> DataFrame:
+    """rows with what ``cut`` (text, s, e) returns for documents with removals; one row for each document.
 
     ``extra``: the columns that cut returns, the last a digest and then the text kept.
     """
@@ -166,11 +174,11 @@ def apply_removal(docs: DataFrame, rows: DataFrame, removed: DataFrame, cut: Cal
 
     def done(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [cut(t, s) for t, s in zip(as_bytes(batch["text"]), batch["spans"], strict=True)]
+            got = [cut(t, s, e) for t, s, e in zip(as_bytes(batch["text"]), batch["s"], batch["e"], strict=True)]
             frame = pd.DataFrame(got, columns=names)
             frame.insert(0, "g", batch["h"])
             frame.insert(0, "i", batch["id"])
             yield frame
 
-    changed = with_text(removed, docs).select("id", "h", "text", "spans").mapInPandas(done, f"i {kind}, g long, {extra}")
+    changed = with_text(removed, docs).select("id", "h", "text", "s", "e").mapInPandas(done, f"i {kind}, g long, {extra}")
     return rows.select("id", "h", "n", "digest").join(changed, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i")), "left")

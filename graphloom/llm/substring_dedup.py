@@ -65,11 +65,17 @@ def _anchors(width: int):
         doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
         name, start, span = recompress(words.hash, doc)
         symbol = np.zeros(len(words.hash), np.uint64)
+        total = prefix_hash(words.hash)
         symbol[start] = mix(name + span.astype(np.uint64))
+        # a key lies so far inside its window that these words around it are the window's as well;
+        # with them in the symbol, short phrases of common words are not shared by chance
+        inside = start[(start >= EDGE) & (start + width - EDGE - reach + 1 <= len(words.hash))]
+        around = range_hash(total, inside - EDGE, inside + width - EDGE - reach + 1)
         order = np.full(len(words.hash), np.iinfo(np.uint64).max, np.uint64)
         # long symbols first, then by name; the place in the low bits makes the leftmost win
         order[start] = ((CAPS[-1] - np.minimum(span, CAPS[-1])).astype(np.uint64) << U(60)) | (symbol[start] >> U(36) << U(32)) | start.astype(np.uint64)
-        found = anchors_of(order, symbol, prefix_hash(words.hash), words.first, width, EDGE, reach)
+        symbol[inside] = mix(symbol[inside] ^ around)
+        found = anchors_of(order, symbol, total, words.first, width, EDGE, reach)
         for k, x in enumerate(found):
             yield int(words.first[k + 1] - words.first[k]), hashlib.sha256(b" ".join(texts[k].split())).hexdigest(), *x
 
@@ -107,9 +113,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "substrings")
     rows, removed = find_repeats(docs, scratch, _anchors(width), _windows(width), "document")
 
-    def cut(text: bytes, spans) -> tuple:
+    def cut(text: bytes, s, e) -> tuple:
         words = text.split()
-        gone = covered(spans, len(words), width)
+        gone = covered(s, e, len(words), width)
         kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
         return int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")
 

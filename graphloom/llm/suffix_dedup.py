@@ -14,8 +14,8 @@ from .common import Scratch, small_batches, table
 from .repeats import anchors_of, apply_removal, covered, find_repeats
 from .wordhash import BYTE_VALUE, U, mix, prefix_hash, range_hash
 
-#: Bytes of the gram whose least hash is a window's key.
-GRAM = 16
+#: Bytes of the gram whose least hash is a window's key: long enough that few are shared by chance.
+GRAM = 40
 #: Symbol groups of at most so many different contexts get a suffix array; larger ones are spread window by window.
 GROUP = 256
 #: Bytes of contexts that one suffix array takes; a group is never split.
@@ -45,17 +45,11 @@ def factor_flags(contents: list[bytes], width: int) -> tuple[np.ndarray, np.ndar
     at = begin[of] + start
     while step < width:
         shift = min(step, width - step)
+        moved = np.concatenate([rank[shift:], np.zeros(shift, np.int64)])
         if step < 4:  # up to four bytes are their own rank
-            moved = np.concatenate([rank[shift:], np.zeros(shift, np.int64)])
-            rank = (rank << (8 * shift)) | (moved & ((1 << (8 * shift)) - 1)) if shift == step else rank
-            if shift != step:
-                rank = (rank << (8 * shift)) | (moved >> (8 * (step - shift)))
+            rank = (rank << (8 * shift)) | (moved & ((1 << (8 * shift)) - 1))
         else:
-            moved = np.concatenate([rank[shift:], np.zeros(shift, np.int64)])
-            if step == 4:
-                pair = (rank.astype(np.uint64) << U(32)) | moved.astype(np.uint64)
-            else:
-                pair = rank * (int(rank.max()) + 1) + moved
+            pair = (rank.astype(np.uint64) << U(32)) | moved.astype(np.uint64)
             if step + shift >= width:
                 pair = pair[at]
             rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
@@ -130,14 +124,14 @@ def _contexts(width: int, keep: str):
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
-                for i, text, at in zip(batch["id"], batch["text"], batch["at"], strict=True):
+                for i, text, *at in zip(batch["id"], batch["text"], batch["sym"], batch["lo"], batch["c"], batch["len"], strict=True):
                     t = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                    out += [(x["sym"], i, x["lo"], x["c"], t[x["lo"] : x["lo"] + x["len"] + width - 1]) for x in at]
+                    out += [(sym, i, lo, c, t[lo : lo + n + width - 1]) for sym, lo, c, n in zip(*at, strict=True)]
                 if out:
                     yield pd.DataFrame(out, columns=["sym", "id", "lo", "c", "content"])
 
         kind = dict(few.dtypes)["id"]
-        parts = few.select("id", "text", "at").mapInPandas(cut, f"sym long, id {kind}, lo int, c long, content binary")
+        parts = few.mapInPandas(cut, f"sym long, id {kind}, lo int, c long, content binary")
         parts = scratch.save(parts, "contexts").repartition("sym").sortWithinPartitions("sym", "id", "lo", "c")
 
         def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,8 +187,8 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows, removed = find_repeats(docs, scratch, _anchors(width), _windows(width), keep, _contexts(width, keep), GROUP)
 
-    def cut(text: bytes, spans) -> tuple:
-        gone = covered(spans, len(text), width)
+    def cut(text: bytes, s, e) -> tuple:
+        gone = covered(s, e, len(text), width)
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         return int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept
 
