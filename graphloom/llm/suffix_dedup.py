@@ -16,8 +16,8 @@ from .wordhash import BYTE_VALUE, U, mix, prefix_hash, range_hash
 
 #: Bytes of the gram whose least hash is a window's key: long enough that few are shared by chance.
 GRAM = 40
-#: Symbol groups of at most so many different contexts get a suffix array; larger ones are spread window by window.
-GROUP = 256
+#: Symbol groups of at most so many different contexts (some 400 bytes each) get a suffix array; larger ones are spread window by window.
+GROUP = 4096
 #: Bytes of contexts that one suffix array takes; a group is never split.
 ARRAY_BYTES = 1 << 20
 

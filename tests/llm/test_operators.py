@@ -82,7 +82,7 @@ def test_substring_dedup(docs, none):
     assert dedup_substrings(none).count() == 0
 
 
-@pytest.mark.parametrize("group", [256, 0])
+@pytest.mark.parametrize("group", [4096, 0])
 def test_suffix_dedup(docs, none, monkeypatch, group):
     from graphloom.llm import suffix_dedup
 
