@@ -97,8 +97,10 @@ def _gradients(w: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> dict:
     """Weights from whole texts and their 0/1 labels; both classes weigh the same."""
     rng = np.random.default_rng(seed)
-    x, first = passages(texts or [b""])
-    x = x.astype(np.float64)
+    texts = texts or [b""]
+    parts = [passages(texts[s]) for s in runs_by_bytes(texts)]  # in parts, for the driver's memory
+    x = np.concatenate([p for p, _ in parts]).astype(np.float64)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
     w = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-3}
     for name, shape in (("w1", (FEATURES, HIDDEN)), ("v", (HIDDEN, HIDDEN)), ("u", (HIDDEN, HIDDEN)), ("a", (HIDDEN,)), ("w2", (HIDDEN,))):
         w[name] = rng.normal(0, 1 / np.sqrt(shape[0]), shape)
