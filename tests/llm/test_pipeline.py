@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("tables")
     r = random.Random(4)
-    rows = [(k, " ".join(w.upper() + "!!" for w in prose(30, k).split()) if k % 4 == 0 else prose(r.randint(40, 120), k)) for k in range(160)]
+    rows = [(k, " ".join(w.upper() + "!!" for w in prose(30, 1000 + k).split()) if k % 4 == 0 else prose(r.randint(40, 120), 1000 + k)) for k in range(160)]
     rows += [(200 + k, edited(rows[1][1], k % 2, k)) for k in range(4)] + [(300, prose(30, 300) + " " + PASSAGE), (301, prose(40, 301) + " call +1 (743) 555-3824 or a.b@c.de")]
     rows += [(1, rows[1][1]), (302, None), (303, "")]
     spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
