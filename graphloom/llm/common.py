@@ -1,4 +1,4 @@
-"""What the operators share: tables in the shared folder, reading, small Arrow batches."""
+"""What the operators share: tables in the shared folder, reading, Arrow batches that carry columns untouched."""
 
 from __future__ import annotations
 
@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What separates words of letters, digits and non-ASCII characters, before lower-casing: A-Z are word characters there.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,50 +31,61 @@ def lower_ascii(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests, a single machine), a temporary
-    folder is made, set for the session, and removed at exit.
+    Only a local session without one gets a temporary folder, set for the session
+    and removed at exit; on a cluster a missing setting is an error, as executors
+    would write to their own disks.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    given = spark.sparkContext.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    own = tempfile.mkdtemp(prefix="graphloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 class Scratch:
     """Tables written in the shared folder, so that no lineage runs through them.
 
     ``drop`` removes tables that no later result reads. What the returned frame
-    still reads stays in the folder, as it is read lazily.
+    still reads stays until the application ends, as it is read lazily.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._end)
+
+    def _path(self, path: str):
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+    def _end(self) -> None:
+        try:
+            fs, p = self._path(self.at)
+            fs.delete(p, True)
+        except Exception:  # the session is gone, and with it the way to the folder
+            pass
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
         df.write.mode("overwrite").parquet(path)
-        # the shuffle files of what was written go when the driver's JVM finds them unreachable
+        # Spark removes shuffle files once the driver's JVM finds them unreachable; a hint lets it look
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def size(self, name: str) -> int:
+        """Bytes of a saved table."""
+        fs, p = self._path(f"{self.at}/{name}")
+        return fs.getContentSummary(p).getLength()
+
     def drop(self, *names: str) -> None:
-        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{n}")
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Fewer rows in an Arrow batch, as one row can hold a very long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+            fs, p = self._path(f"{self.at}/{n}")
+            fs.delete(p, True)
 
 
 def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -76,20 +93,82 @@ def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-#: Tables up to so many rows are broadcast where a join allows it; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: What one broadcast may take: rows, and bytes of a row's columns by its types (text is measured).
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its rows take at most ``most`` bytes; a larger table is shuffled.
+
+    Rows are counted with the bytes of their texts and arrays, and no further than
+    the limit allows.
+    """
+
+    def width(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            each = F.lit(8) if not isinstance(kind.elementType, T.StringType) else None
+            if each is None:
+                return F.coalesce(F.octet_length(F.array_join(F.col(f"`{name}`"), "")) + 24 * F.size(F.col(f"`{name}`")), F.lit(0)) + 24
+            return F.greatest(F.size(F.col(f"`{name}`")), F.lit(0)) * each + 24
+        return F.lit(8)
+
+    one = F.lit(16)
+    for f in df.schema.fields:
+        one = one + width(f.name, f.dataType)
+    # no row takes less than 24 bytes, so more rows than this are too many whatever they hold
+    got = df.limit(most // 24 + 1).agg(F.sum(one.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if got <= most else df
+
+
+def texts_of(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of each text; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    """A column of arrays of numbers."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def map_arrow(df: DataFrame, keep: list[str], ddl: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], rows: int = 256) -> DataFrame:
+    """``df`` through Arrow batches of at most ``rows`` rows.
+
+    ``run`` takes the batches of a partition and yields (batch, take, columns): the
+    columns ``keep`` of the batch's rows ``take`` (None: all) go through as they are,
+    whatever their type and nulls, so ids are never changed; ``columns`` (name to
+    values) are those of ``ddl``.
+    """
+    made = T.StructType.fromDDL(ddl)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = {f.name: to_arrow_type(f.dataType) for f in made.fields}
+    schema = T.StructType([*[df.schema[k] for k in keep], *made.fields])
+
+    def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, take, cols in run(small_parts(batches)):
+            held = [] if batch is None else [batch.column(batch.schema.get_field_index(k)) for k in keep]
+            if take is not None:
+                held = [c.take(pa.array(take)) for c in held]
+            new = [cols[n] if isinstance(cols[n], pa.Array) else pa.array(cols[n], kind) for n, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*held, *new], names=[*keep, *kinds])
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return df.mapInArrow(go, schema)
 
 
 def with_text(keyed: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds text to rows of (id, h, ...), one for each (id, h), from docs (id, h, text).
 
     h is a hash of the text, so repeated ids keep their own texts. Texts of other
-    documents are left out before anything is shuffled.
+    documents are left out before anything is shuffled, while the keys are few.
     """
     same = (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))
     ids = small(keyed.select(F.col("id").alias("i"), F.col("h").alias("g")))

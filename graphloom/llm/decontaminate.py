@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, table
+from .common import SEPARATORS, Scratch, lower_ascii, small, table
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
-#: Tables up to so many rows (terms, windows, ids of candidates) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
 #: Share of a window's words in place that makes a proximity match.
 NEAR = 0.8
-#: What separates words, before lower-casing: A-Z are word characters there.
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _split(text: Column) -> Column:
@@ -29,10 +25,6 @@ def _words(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("words", F.filter("_w", lambda w: w != "")).drop("_w")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, near: float = NEAR) -> DataFrame:
     """Find the windows of benchmark items that stand in the documents.
 
@@ -44,7 +36,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     those with ``near`` of the words in place make proximity matches.
 
     Plan: one scan that explodes words and keeps benchmark words (broadcast hash
-    join, shuffled beyond BROADCAST_ROWS); a count by word; a join of the rare
+    join, shuffled beyond BROADCAST_BYTES); a count by word; a join of the rare
     postings by (document, place); one join of candidates with their documents'
     texts. Only documents with candidates are shuffled with their text.
 
@@ -72,7 +64,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     terms = wins.select(F.explode("win").alias("w")).distinct().withColumn("term", F.monotonically_increasing_id())
     terms = scratch.save(terms, "terms")
     posts = rows.select("id", "h", F.posexplode(_split(F.col("text"))).alias("p", "w")).withColumn("w", lower_ascii(F.col("w")))
-    posts = scratch.save(posts.join(_small(terms), "w").select("term", "id", "h", "p"), "postings")
+    posts = scratch.save(posts.join(small(terms), "w").select("term", "id", "h", "p"), "postings")
     counts = scratch.save(posts.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
 
     placed = wins.select("wid", F.posexplode("win").alias("k", "w")).join(terms, "w").join(counts, "term", "left")
@@ -83,9 +75,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     )
     two = scratch.save(two.select("wid", F.col("a.term").alias("term"), F.col("a.k").alias("k"), F.col("b.term").alias("term2"), F.col("b.k").alias("k2")), "rarest")
 
-    found = posts.join(_small(two), "term").select("id", "h", "wid", (F.col("p") - F.col("k")).alias("start"), "term2", "k2").filter("start >= 0")
+    found = posts.join(small(two), "term").select("id", "h", "wid", (F.col("p") - F.col("k")).alias("start"), "term2", "k2").filter("start >= 0")
     single = found.filter(F.col("term2").isNull()).select("id", "h", "wid", "start")
-    second = _small(two.select(F.col("term2").alias("term")).dropna().distinct())
+    second = small(two.select(F.col("term2").alias("term")).dropna().distinct())
     second = posts.join(second, "term", "left_semi").select(F.col("term").alias("t"), F.col("id").alias("i"), F.col("h").alias("g"), "p")
     both = found.filter(F.col("term2").isNotNull()).join(
         second,
@@ -93,10 +85,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         "left_semi",
     )
     found = both.select("id", "h", "wid", "start").unionByName(single).distinct()
-    found = found.join(_small(wins), "wid").groupBy("id", "h").agg(F.collect_list(F.struct("wid", "start", "win")).alias("found"))
+    found = found.join(small(wins), "wid").groupBy("id", "h").agg(F.collect_list(F.struct("wid", "start", "win")).alias("found"))
     found = scratch.save(found, "found")  # an array for each document with candidates, bounded by its words and the windows
 
-    ids = _small(found.select(F.col("id").alias("i"), F.col("h").alias("g")))
+    ids = small(found.select(F.col("id").alias("i"), F.col("h").alias("g")))
     same = (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))
     texts = rows.join(ids, same, "left_semi").dropDuplicates(["id", "h"])
     met = _words(texts, "text").join(found.withColumnsRenamed({"id": "i", "h": "g"}), same)

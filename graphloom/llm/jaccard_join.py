@@ -6,215 +6,391 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, lists, map_arrow, runs_by_bytes, small, table, texts_of
 from .graph import components
 from .wordhash import U, Words, mix, shingles
 
-#: Bits of a shingle's hash that name its frequency bucket: the sketch has a fixed size.
-SKETCH_BITS = 17
-#: Up to so many ids of documents in candidate pairs are broadcast; more are shuffled.
-BROADCAST_IDS = 500_000
+#: Shingles that a task gathers before it sends them on, and documents among them at most.
+FLUSH, FLUSH_DOCS = 1 << 20, 60_000
+#: Buckets of shingles for each shuffle partition; a bucket is resolved at once.
+BUCKETS = 4
+#: Entries after which a bucket lets go of those that are decided.
+HELD = 4 << 20
+#: Postings of a block; lists are compared block by block.
+BLOCK = 256
+#: Bits of a set's parity map.
+PARITY = 1024
 
 
-def _sets(batch: pd.DataFrame, n: int) -> Iterator[np.ndarray]:
-    words = Words([t.encode("utf-8", "surrogatepass") if isinstance(t, str) else None for t in batch["text"]], lower=True)
-    for k in range(len(batch)):
-        yield shingles(words.hash[words.first[k] : words.first[k + 1]], n)
+def _sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    for s in runs_by_bytes(texts):
+        words = Words(texts[s], lower=True)
+        for k in range(len(words.first) - 1):
+            yield shingles(words.hash[words.first[k] : words.first[k + 1]], n)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> U(64 - SKETCH_BITS)).astype(np.int64)
+def _packed(tok: np.ndarray, bits: int) -> bytes:
+    """48 bits of each shingle after the ``bits`` that name its bucket."""
+    return np.ascontiguousarray((((tok << U(bits)) >> U(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _counts(s: np.ndarray) -> bytes:
-    """How many shingles fall in each of about n/4 buckets; empty where a count does not fit a byte."""
-    bits = max(0, int(len(s)).bit_length() - 3)
-    got = np.bincount((s & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-    return got.astype(np.uint8).tobytes() if got.max(initial=0) < 256 else b""
+def _unpacked(bucket: int, raw: bytes, bits: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return ((out.reshape(-1).view("<u8").astype(np.uint64) << U(16)) >> U(bits)) | U((bucket << (64 - bits)) & (2**64 - 1))
 
 
-def _most(x: bytes, y: bytes) -> float:
-    """No two sets with these counts have more shingles in common."""
-    if not x or not y:
-        return np.inf
-    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] + a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] + b[len(b) // 2 :]
-    return int(np.minimum(a, b).sum())
+def _gather(n: int, bits: int):
+    """Tasks send a row for each document, and for each bucket the shingles of many documents together.
 
+    Equal sets of one flush count once. Of a shingle that more than two sets of a
+    flush hold, two entries go to its bucket, which make it shared there; the others
+    are known to be shared already and go anywhere, so a very common shingle floods
+    no bucket.
+    """
 
-def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Documents that hold a shingle of each bucket, counted over all rows."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        toks, sigs, sizes, known, held, spread = [], [], [], set(), 0, 0
+
+        def blobs():
+            nonlocal toks, sigs, sizes, known, held, spread
+            if not toks:
+                return
+            tok, of = np.concatenate(toks), np.repeat(np.arange(len(toks)), sizes)
+            sig, size = np.array(sigs, np.int64), np.array(sizes, np.int32)
+            toks, sigs, sizes, known, held = [], [], [], set(), 0
+            order = np.argsort(tok, kind="stable")
+            tok, of = tok[order], of[order]
+            new = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            nth = np.arange(len(tok)) - np.repeat(new, np.diff(np.append(new, len(tok))))
+            bucket = (tok >> U(64 - bits)).astype(np.int64)
+            more = nth >= 2
+            out = {"bucket": [], "n": [], "sig": [], "docs": [], "sizes": [], "idx": [], "tok": []}
+            for part, sign in ((~more, 1), (more, -1)):
+                t, o, b = tok[part], of[part], bucket[part]
+                cut = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(b)) if len(b) else np.zeros(1, np.int64)
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    docs, idx = np.unique(o[x:y], return_inverse=True)
+                    spread += 1
+                    out["bucket"].append(int(b[x]) if sign > 0 else -1 - int(b[x]) - (spread << bits))
+                    out["docs"].append(sig[docs])
+                    out["sizes"].append(size[docs])
+                    out["idx"].append(idx.astype("<u2").tobytes())
+                    out["tok"].append(_packed(t[x:y], bits))
+            m = len(out["tok"])
+            yield None, None, out | {"n": [0] * m, "sig": [0] * m, "docs": lists(out["docs"], np.int64), "sizes": lists(out["sizes"], np.int32)}
+
+        empty = None
+        for batch in batches:
+            spread += 1
+            rows = [], []
+            for s in _sets(texts_of(batch.column(1)), n):
+                with np.errstate(over="ignore"):
+                    sig = int(mix(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).reshape(1) + U(len(s)))[0].astype(np.int64)) if len(s) else 0
+                rows[0].append(len(s))
+                rows[1].append(sig)
+                if len(s) and (sig, len(s)) not in known:
+                    known.add((sig, len(s)))
+                    toks.append(s)
+                    sigs.append(sig)
+                    sizes.append(len(s))
+                    held += len(s)
+                    if held >= FLUSH or len(toks) >= FLUSH_DOCS:
+                        for _, _, cols in blobs():
+                            yield empty_ids(batch, len(cols["n"])), None, cols
+            m = batch.num_rows
+            none = [None] * m
+            yield batch, None, {"bucket": [-1 - (spread << bits)] * m, "n": rows[0], "sig": rows[1], "docs": none, "sizes": none, "idx": none, "tok": none}
+            empty = batch.slice(0, 0)
+        if empty is not None:
+            for _, _, cols in blobs():
+                yield empty_ids(empty, len(cols["n"])), None, cols
+
+    def empty_ids(batch: pa.RecordBatch, m: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(m, f.type) for f in batch.schema], schema=batch.schema)
+
+    return run
+
+
+def _shared(bits: int):
+    """For each bucket, the entries of shingles that two or more sets hold; document rows go through.
+
+    Memory follows the different shingles of a bucket, not how often one occurs:
+    beyond HELD entries those of shingles known to be shared are given out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, tok, sig, size, held, common = None, [], [], [], 0, np.zeros(0, np.uint64)
+
+        def entries(t, s, z):
+            m = len(t)
+            return None, None, {"kind": pa.array(np.ones(m, np.int32)), "tok": pa.array(t.view(np.int64)), "c": pa.array(s), "n": pa.array(z.astype(np.int64))}
+
+        def resolve(last: bool):
+            nonlocal tok, sig, size, held, common
+            if not sum(map(len, tok)):
+                tok, sig, size, held, common = [], [], [], 0, np.zeros(0, np.uint64) if last else common
+                return
+            t, s, z = np.concatenate(tok), np.concatenate(sig), np.concatenate(size)
+            order = np.lexsort((s, t))
+            t, s, z = t[order], s[order], z[order]
+            one = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
+            t, s, z = t[one], s[one], z[one]
+            new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            many = np.diff(np.append(new, len(t)))
+            hit = (many > 1) | np.isin(t[new], common)
+            give = np.repeat(hit, many)
+            if not last:
+                common = np.union1d(common, t[new][hit])
+            tok, sig, size = ([x[~give]] for x in (t, s, z))
+            held = len(tok[0])
+            if give.any():
+                yield entries(t[give], s[give], z[give])
+            if last:
+                tok, sig, size, held, common = [], [], [], 0, np.zeros(0, np.uint64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            total += np.bincount(_bucket(np.concatenate([np.zeros(0, np.uint64), *_sets(batch, n)])), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": some.astype(np.int32), "n": total[some]})
+            col = {k: batch.column(batch.schema.get_field_index(k)) for k in ("bucket", "n", "sig", "docs", "sizes", "idx", "tok")}
+            docs = np.flatnonzero(col["tok"].is_null().to_numpy(zero_copy_only=False))
+            if len(docs):
+                m = len(docs)
+                yield batch, docs, {"kind": pa.array(np.zeros(m, np.int32)), "tok": pa.array(np.zeros(m, np.int64)), "c": col["sig"].take(pa.array(docs)), "n": col["n"].take(pa.array(docs))}
+            bucket = col["bucket"].to_numpy()
+            for k in np.flatnonzero(~col["tok"].is_null().to_numpy(zero_copy_only=False)):
+                b = int(bucket[k])
+                idx = np.frombuffer(col["idx"][k].as_py(), "<u2")
+                s, z = col["docs"][k].values.to_numpy()[idx], col["sizes"][k].values.to_numpy()[idx]
+                if b < 0:
+                    yield entries(_unpacked((-1 - b) & ((1 << bits) - 1), col["tok"][k].as_py(), bits), s, z)
+                    continue
+                if b != now:
+                    yield from resolve(True)
+                    now = b
+                tok.append(_unpacked(b, col["tok"][k].as_py(), bits))
+                sig.append(s)
+                size.append(z)
+                held += len(idx)
+                if held >= HELD:
+                    yield from resolve(False)
+                    held = min(held, HELD // 2)
+        yield from resolve(True)
+
+    def with_ids(batches):
+        kept = None
+        for batch, take, cols in run(remember(batches)):
+            if batch is None:
+                m = len(cols["c"])
+                batch = pa.RecordBatch.from_arrays([pa.nulls(m, f.type) for f in remembered[0]], schema=remembered[0])
+            yield batch, take, cols
+
+    remembered: list = []
+
+    def remember(batches):
+        for b in batches:
+            remembered[:] = [b.schema]
+            yield b
+
+    return with_ids
+
+
+def _parity(batches: Iterator[pa.RecordBatch]):
+    """A bit for each of PARITY hash classes: whether a set holds an odd number of its shared shingles."""
+    for batch in batches:
+        out = []
+        for k in range(batch.num_rows):
+            v = mix(batch.column(2)[k].values.to_numpy().view(np.uint64))
+            out.append(np.packbits(np.bincount((v & U(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes())
+        yield batch, None, {"bits": out}
+
+
+def _blocks(percent: int):
+    """Pairs of documents of each two blocks that may be linked: (x, y), and whether a hub's answers prove it.
+
+    x and y are of different components. They are skipped where their sizes, their
+    places in the list's order, what both have in common with one hub, or the
+    parities of their sets (two shingles at most cancel out in one class) leave no
+    room for the overlap needed.
+    """
 
-    found = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+    def solve(g: dict) -> tuple:
+        left = np.flatnonzero(g["role"] != 1)
+        same = g["role"][left[0]] == 2 if len(left) else False
+        right = left if same else np.flatnonzero(g["role"] == 1)
+        a, b = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+        keep = g["comp"][a] != g["comp"][b]
+        if same:
+            keep &= a < b
+        a, b = a[keep], b[keep]
+        nx, ny = g["n"][a], g["n"][b]
+        need = -(-percent * (nx + ny) // (100 + percent))
+        keep = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(nx - g["i"][a], ny - g["i"][b]) >= need)
+        a, b, nx, ny, need = a[keep], b[keep], nx[keep], ny[keep], need[keep]
+        ox, oy = g["o"][a], g["o"][b]
+        known = (g["hub"][a] == g["hub"][b]) & (ox >= 0) & (oy >= 0)
+        answered = (g["hub"][a] == g["c"][b]) & (ox >= 0) | (g["hub"][b] == g["c"][a]) & (oy >= 0)  # compared already, and not linked
+        keep = ~answered & ~(known & (np.minimum(ox, oy) + np.minimum(nx - ox, ny - oy) < need))
+        apart = np.bitwise_count(g["bits"][a[keep]] ^ g["bits"][b[keep]]).sum(axis=1).astype(np.int64)
+        # shingles that one set alone holds are no part of the parities
+        apart += g["alone"][a[keep]] + g["alone"][b[keep]]
+        keep = np.flatnonzero(keep)[nx[keep] + ny[keep] - apart >= 2 * need[keep]]
+        proven = known[keep] & (ox[keep] + oy[keep] - g["hub_n"][a[keep]] >= need[keep])
+        return g["c"][a[keep]], g["c"][b[keep]], proven
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, parts = None, []
+        names = ("c", "n", "i", "comp", "hub", "hub_n", "o", "alone", "role")
+
+        def solved():
+            g = {k: np.concatenate([p[k] for p in parts]) for k in (*names, "bits")}
+            x, y, p = solve(g)
+            if len(x):
+                yield None, None, {"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y)), "proven": pa.array(p)}
+
+        for batch in batches:
+            col = {k: batch.column(batch.schema.get_field_index(k)).to_numpy() for k in (*names, "tok", "block")}
+            col["bits"] = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("bits")).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            new = np.concatenate([[True], (col["tok"][1:] != col["tok"][:-1]) | (col["block"][1:] != col["block"][:-1])])
+            cut = [*np.flatnonzero(new), batch.num_rows]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                at = col["tok"][a], col["block"][a]
+                if at != now and parts:
+                    yield from solved()
+                    parts = []
+                now = at
+                parts.append({k: col[k][a:b] for k in (*names, "bits")})
+        if parts:
+            yield from solved()
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose sets of n-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are runs of what is not white space, A-Z lower-cased; a text with fewer
-    than n words has one shingle. Equal sets become one class. A class's prefix is
-    the least frequent part of its shingles (ordered by the count class of their
-    bucket in a sketch of fixed size, then by hash), so that similar sets share a
-    prefix shingle. Posting lists are cut into blocks by size; only blocks whose
-    sizes can fit meet, and places in the order bound the overlap.
-
-    Round one compares each list's members with the hub of each block in reach: as
-    many pairs as there are postings. Round two takes only pairs of one list that
-    are not yet in one component; where both were compared with one hub, bounds on
-    their overlap follow from the hub's answers, and pairs that cannot qualify are
-    skipped. In both rounds counts by hash bucket rule out pairs that cannot have
-    the overlap; all others are compared on their whole sets, so no link between
-    different components is lost.
-
-    Plan: two scans for counts and prefixes, a count by shingle, joins on shingle,
-    band and id that Spark can split, and star steps for components. Texts are
-    shuffled only for documents in candidate pairs.
+    than n words has one shingle. Equal sets are one set.
+
+    Which shingles are shared: one scan sends every shingle with its set to a bucket
+    by its hash, many in one row; a bucket gives out the entries of shingles of two
+    or more sets. A set needs ``percent`` of its shingles shared to be linked at all,
+    which leaves few: they are counted exactly, once more among themselves, and each
+    is ordered by frequency, the rarest first. Its first ``1 - percent`` share is its
+    prefix, of which shingles that no other set holds take the first places.
+
+    Posting lists are cut into blocks by size band. Round one compares each posting
+    with the hub of its list and band. Round two meets the blocks of lists that still
+    hold several components, members of the largest one never with each other; pairs
+    are skipped by size, by their places in the order, by the answers that both have
+    from one hub (which also prove some), and by parities of their sets. What is left
+    is compared on whole sets, so no link between different components is lost.
+
+    Plan: one scan of the texts and one shuffle of 48-bit shingles; all later tables
+    hold only sets that can be linked. Joins are by shingle or set, with nothing
+    grouped on the same key, so Spark can split hot ones. Beyond the bits kept, two
+    shingles differ but for a chance of 2**-50 or less.
 
     Null and empty texts, and texts of white space only, have n_shingles 0 and are
     linked with nothing: component_id is their own id. Null ids take part; a
     component's id is its smallest non-null id, null if it has none. Repeated rows
-    are linked with each other. Other columns take no part.
+    are linked with each other; ties in size or frequency are broken by hash and
+    change no result. Very long texts are hashed whole; a row holds one set. An
+    empty table gives no rows. Other columns, whatever their names, take no part.
 
     Returns ``id_col``, n_shingles, component_id.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
-    kind = dict(docs.dtypes)["id"]
-    counts = _frequencies(docs, n)
-    seen = counts[counts > 0]
-    level = np.log2(np.maximum(counts, 1) / (np.median(seen) if len(seen) else 1)).clip(0, 62).astype(np.uint64)
-    level = spark.sparkContext.broadcast(level)  # 2 ** SKETCH_BITS values, whatever the input
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, sig1, sig2, sizes, counted = [], [], [], [], []
-            for s in _sets(batch, n):
-                keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                order = np.lexsort((s, level.value[_bucket(s)]))[:keep]
-                out.append(s[order].view(np.int64))
-                with np.errstate(over="ignore"):
-                    sig1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                    sig2.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                sizes.append(len(s))
-                counted.append(_counts(s))
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n": np.array(sizes, np.int64), "sig1": np.array(sig1, np.int64), "sig2": np.array(sig2, np.int64), "prefix": out, "counts": counted})
-
-    rows = docs.mapInPandas(prefixes, f"id {kind}, h long, n long, sig1 long, sig2 long, prefix array<long>, counts binary")
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    sig = ["sig1", "sig2", "n"]
-    classes = scratch.save(rows.filter("n > 0").groupBy(*sig).agg(F.min("row").alias("c")), "classes")
-    sets = rows.join(classes.select(F.col("c").alias("row")), "row").withColumnRenamed("row", "c")
-    info = scratch.save(sets.select("c", "id", "h", "n", "counts"), "info")
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(4, math.ceil(math.log2(BUCKETS * parts)))
+    sent = map_arrow(docs, ["id"], "bucket long, n long, sig long, docs array<long>, sizes array<int>, idx binary, tok binary", _gather(n, bits))
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
+    both = scratch.save(map_arrow(sent, ["id"], "kind int, tok long, c long, n long", _shared(bits)), "shared")
+    rows = both.filter("kind = 0").select("id", "c", "n")
+
+    def likely(sets: DataFrame) -> DataFrame:
+        return sets.filter(100 * F.size("toks") >= percent * F.col("n"))
+
+    sets = likely(both.filter("kind = 1").groupBy("c").agg(F.max("n").alias("n"), F.collect_set("tok").alias("toks")))
+    sets = scratch.save(sets, "sets0")
+    for k in (1, 2):
+        one = sets.select("c", "n", F.explode("toks").alias("tok"))
+        held = scratch.save(one.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumnRenamed("tok", "t"), f"held{k}")
+        one = one.join(held, F.col("tok") == F.col("t"))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"])
+        sets = scratch.save(likely(one.groupBy("c").agg(F.max("n").alias("n"), ordered.alias("toks"))), f"sets{k}")
+        scratch.drop(f"sets{k - 1}", f"held{k}")
+    alone = F.col("n") - F.size("toks")
+    reach = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100) - 1e-9) + 1 - alone
+    posts = sets.withColumn("alone", alone.cast("long")).select("c", "n", "alone", F.posexplode(F.slice("toks", F.lit(1), reach.cast("int"))).alias("i", "tok"))
+    posts = posts.withColumn("i", (F.col("i") + F.col("alone")).cast("long"))
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
-    posts = scratch.save(sets.select("c", "n", band.alias("band"), F.posexplode("prefix").alias("i", "tok")), "postings")
-    shared = posts.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("tok")
-    posts = scratch.save(posts.join(shared, "tok"), "shared")
-    scratch.drop("postings")
-
-    def fits(x: str, y: str):
-        c = lambda s: F.col(s)
-        need = F.ceil(percent * (c(f"n{x}") + c(f"n{y}")) / F.lit(100 + percent) - 1e-9)
-        sizes = (100 * F.least(f"n{x}", f"n{y}") >= percent * F.greatest(f"n{x}", f"n{y}")) & (c(f"c{x}") != c(f"c{y}"))
-        return sizes & (F.least(c(f"n{x}") - c(f"i{x}"), c(f"n{y}") - c(f"i{y}")) >= need), need
-
-    def named(df: DataFrame, x: str) -> DataFrame:
-        return df.select("tok", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "tok"])
-
-    blocks = posts.groupBy("tok", "band").agg(F.min(F.struct("c", "n", "i")).alias("hub"))
-    hubs = blocks.select("tok", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"), F.col("hub.c").alias("cy"), F.col("hub.n").alias("ny"), F.col("hub.i").alias("iy"))
-    ok, _ = fits("x", "y")
-    first = named(posts, "x").join(hubs.withColumnRenamed("tok", "t"), (F.col("tok") == F.col("t")) & (F.col("bandx") == F.col("near")) & ok)
-    first = scratch.save(first.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), "pairs1")
-
-    def possible(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that the counts by bucket do not rule out."""
-        side = lambda k: info.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-        both = pairs.join(side("x"), "x").join(side("y"), "y")
-
-        def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                need = -(-percent * (batch["nx"].to_numpy() + batch["ny"].to_numpy()) // (100 + percent))
-                keep = [_most(x, y) >= k for x, y, k in zip(batch["cx"], batch["cy"], need, strict=True)]
-                yield batch.loc[np.array(keep, bool), ["x", "y"]]
-
-        return scratch.save(both.mapInPandas(prune, "x long, y long"), name)
+    posts = scratch.save(posts.withColumn("band", band), "postings")
+
+    need = F.ceil(percent * (F.col("n") + F.col("ny")) / F.lit(100 + percent) - 1e-9)
+    fits = (100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")) & (F.col("c") != F.col("cy")) & (F.least(F.col("n") - F.col("i"), F.col("ny") - F.col("iy")) >= need)
+    # a list's hub in a band: the set with the fewest shingles of its own
+    hubs = scratch.save(posts.groupBy("tok", "band").agg(F.min(F.struct("i", "c", "n")).alias("hub")), "hubs")
+    near = hubs.select(F.col("tok").alias("t"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"), F.col("hub.c").alias("cy"), F.col("hub.n").alias("ny"), F.col("hub.i").alias("iy"))
+    first = posts.join(near, (F.col("tok") == F.col("t")) & (F.col("band") == F.col("near")) & fits)
+    first = scratch.save(first.select(F.least("c", "cy").alias("x"), F.greatest("c", "cy").alias("y")).distinct(), "pairs1")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """(x, y, o): the overlap of the whole sets of each pair that is possible; x <> y. Order by y keeps a hub's set at hand."""
-        pairs = possible(pairs, f"{name}-possible")
-        ids = pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct()
-        who = scratch.save(ids.join(info, "c").select("c", "id", "h"), f"{name}-who")
-        if who.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-            who = F.broadcast(who)
-        w = who.select("c", F.col("id").alias("wid"), F.col("h").alias("wh"))
-        texts = docs.join(w, (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid"))).select("c", "text").dropDuplicates(["c"])
-        texts = scratch.save(texts, f"{name}-texts")
-        both = pairs.join(texts.withColumnsRenamed({"c": "x", "text": "tx"}), "x").join(texts.withColumnsRenamed({"c": "y", "text": "ty"}), "y")
-
-        def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, hub = None, None
-            for batch in batches:
-                o = np.zeros(len(batch), np.int64)
-                for k, (y, s) in enumerate(zip(batch["y"], _sets(batch.rename(columns={"tx": "text"}), n), strict=True)):
-                    if y != known:
-                        known, hub = y, next(_sets(pd.DataFrame({"text": batch["ty"].iloc[k : k + 1]}), n))
-                    o[k] = len(s) + len(hub) - len(np.union1d(s, hub))
-                yield pd.DataFrame({"x": batch["x"], "y": batch["y"], "o": o})
-
-        out = both.select("x", "y", "tx", "ty").mapInPandas(overlap, "x long, y long, o long")
-        out = scratch.save(out, name)
-        scratch.drop(f"{name}-texts")
-        return out
-
-    size = info.select("c", "n")
-    done = verified(first, "overlaps1")
+        """(x, y, o, linked): the overlap of the whole sets; shingles that are not shared overlap nowhere."""
+        side = lambda k: sets.select(F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("toks").alias(f"t{k}"))
+        met = pairs.join(side("x"), F.col("x") == F.col("cx")).join(side("y"), F.col("y") == F.col("cy"))
+        met = met.select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).cast("long").alias("o"))
+        return scratch.save(met.select("x", "y", "o", (F.col("o") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).alias("linked")), name)
 
-    def links(v: DataFrame) -> DataFrame:
-        v = v.join(size.withColumnsRenamed({"c": "x", "n": "nx"}), "x").join(size.withColumnsRenamed({"c": "y", "n": "ny"}), "y")
-        return v.filter(F.col("o") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    edges = scratch.save(links(done), "links1")
-    comp = scratch.save(components(edges, scratch, "cc1"), "components1")
-    lists = posts.join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
-    lists = lists.join(blocks.select("tok", "band", F.col("hub.c").alias("hub")), ["tok", "band"])
-    open_ = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
-    known = done.select(F.col("x").alias("c"), F.col("y").alias("hub"), "o")
-    lists = scratch.save(lists.join(open_, "tok").join(known, ["c", "hub"], "left").withColumn("o", F.when(F.col("c") == F.col("hub"), F.col("n")).otherwise(F.col("o"))), "open")
-    ok, need = fits("x", "y")
-    reach = F.least("ox", "oy") + F.least(F.col("nx") - F.col("ox"), F.col("ny") - F.col("oy"))
-    derived = F.coalesce((F.col("hubx") == F.col("huby")) & (reach < need), F.lit(False))
-    met = named(lists, "x").join(named(lists, "y").withColumnRenamed("tok", "t"), (F.col("tok") == F.col("t")) & (F.col("compx") < F.col("compy")) & ok & ~derived)
-    second = met.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    second = second.join(first, ["x", "y"], "left_anti").join(first.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-    second = scratch.save(second, "pairs2")
-    edges = scratch.save(edges.unionByName(links(verified(second, "overlaps2"))), "links2")
+    edge = lambda v: v.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    done = verified(first, "overlaps1")
+    comp = scratch.save(components(edge(done), scratch, "cc1"), "components1")
+
+    member = comp.withColumnsRenamed({"v": "w", "component": "comp"})
+    placed = posts.join(member, F.col("c") == F.col("w"), "left").withColumn("comp", F.coalesce("comp", "c")).drop("w")
+    placed = scratch.save(placed, "placed")
+    # a list's components: how many postings in all, and which component has the most
+    kinds = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("most"))
+    kinds = scratch.save(kinds.filter("comps > 1").select(F.col("tok").alias("t"), "all", F.col("most.k").alias("most"), F.col("most.comp").alias("main")), "open")
+    lists_ = placed.join(kinds, F.col("tok") == F.col("t")).drop("t")
+    of = hubs.select(F.col("tok").alias("t"), F.col("band").alias("b"), F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n"))
+    lists_ = lists_.join(of, (F.col("tok") == F.col("t")) & (F.col("band") == F.col("b"))).drop("t", "b")
+    known = done.select(F.col("x").alias("p"), F.col("y").alias("q"), "o")
+    lists_ = lists_.join(known, (F.least("c", "hub") == F.col("p")) & (F.greatest("c", "hub") == F.col("q")), "left").drop("p", "q")
+    lists_ = lists_.withColumn("o", F.when(F.col("c") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
+    bits_of = map_arrow(sets.select("c", "n", "toks"), ["c"], "bits binary", _parity).withColumnRenamed("c", "w")
+    lists_ = lists_.join(bits_of, F.col("c") == F.col("w")).drop("w")
+    blocks = lambda k: F.ceil(k / F.lit(BLOCK)).cast("int")
+    rest, main = blocks(F.col("all") - F.col("most")), blocks(F.col("most"))
+    salt = lambda m: F.pmod(F.xxhash64("c", "tok"), m).cast("int")
+    one = lambda a, b, kind, role: F.struct((a.cast("long") * 2_000_000 + b * 2 + kind).alias("block"), F.lit(role).cast("int").alias("role") if isinstance(role, int) else role.alias("role"))
+    mine = F.col("salt")
+    to = lambda m: F.sequence(F.lit(0), m - 1)
+    role = lambda b: F.when(b == mine, 2).when(mine < b, 0).otherwise(1).cast("int")
+    places = F.when(F.col("comp") == F.col("main"), F.transform(to(rest), lambda a: one(a, mine, 1, 1))).otherwise(
+        F.concat(F.transform(to(rest), lambda b: one(F.least(mine, b), F.greatest(mine, b), 0, role(b))), F.transform(to(main), lambda b: one(mine, b, 1, 0)))
+    )
+    lists_ = lists_.withColumn("salt", salt(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
+    lists_ = lists_.select("tok", "c", "n", "i", "comp", "hub", "hub_n", "o", "alone", "bits", F.inline(places))
+    met = lists_.repartition("tok", "block").sortWithinPartitions("tok", "block")
+    second = map_arrow(met, [], "x long, y long, proven boolean", _blocks(percent), rows=4096)
+    second = scratch.save(second.groupBy("x", "y").agg(F.max("proven").alias("proven")), "pairs2")
+    edges = edge(done).unionByName(second.filter("proven").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    edges = edges.unionByName(edge(verified(second.filter("NOT proven").select("x", "y"), "overlaps2")))
     comp = scratch.save(components(edges, scratch, "cc2"), "components2")
 
-    member = rows.filter("n > 0").select("id", "n", "sig1", "sig2").join(classes, sig)
-    member = member.join(comp.withColumnRenamed("v", "c"), "c", "left").select("id", "n", F.coalesce("component", "c").alias("comp"))
-    member = scratch.save(member, "members")
-    least = member.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = member.join(least, "comp").select("id", "n", "component_id").unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    scratch.drop("shared", "open", "info")
+    # the smallest id of each component; joined to the rows by set, in tables of their own
+    by_set = scratch.save(rows.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("least")), "by_set")
+    by_set = by_set.join(comp.withColumnRenamed("v", "w"), F.col("c") == F.col("w"), "left").select("c", "n", "least", F.coalesce("component", "c").alias("comp"))
+    least = scratch.save(by_set.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
+    by_set = scratch.save(by_set.join(least.withColumnRenamed("comp", "w"), F.col("comp") == F.col("w")).select(F.col("c").alias("s"), F.col("n").alias("z"), "component_id"), "labels")
+    out = rows.filter("n > 0").join(by_set, (F.col("c") == F.col("s")) & (F.col("n") == F.col("z"))).select("id", "n", "component_id")
+    out = out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    scratch.drop("postings", "placed", "open", "hubs", "pairs1", "pairs2", "sets2", "by_set", "least")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 

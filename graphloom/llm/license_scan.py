@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, table
+from .common import SEPARATORS, Scratch, lower_ascii, table
 
 #: (label, phrase): base phrases, whose every place counts.
 BASE = (
@@ -27,8 +27,6 @@ TEMPLATES = (
 )
 #: A template counts where at least so much of its words' IDF stands in place.
 MIN_MATCH = 0.6
-#: What separates words, before lower-casing: A-Z are word characters there.
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def with_word_postings(rows: DataFrame, vocabulary: list[str]) -> DataFrame:

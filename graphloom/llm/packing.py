@@ -9,12 +9,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, map_arrow, table
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END_ID = 4096, 1
@@ -88,24 +88,22 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capa
     """A row for each piece: id, piece, start, length, ids_crc32 and, if asked for, ids as bytes."""
     end = struct.pack("<I", end_id)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = dict(rows.dtypes)["doc"]
-    names = ["doc", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]):
         encode = encoder(path)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                ids = (encode(text) if isinstance(text, str) and text else b"") + end
+            take, out = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                ids = (encode(text) if text else b"") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(one) // 4, zlib.crc32(one)) + ((one,) if keep_ids else ()))
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc"] = frame["doc"].astype(object if kind == "string" else "Int64") if len(frame) else frame["doc"]
-            yield frame
+                    take.append(row)
+                    out.append((k, at // 4, len(one) // 4, zlib.crc32(one)) + ((one,) if keep_ids else ()))
+            if out:
+                yield batch, np.array(take, np.int64), dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
 
-    schema = f"doc {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return rows.mapInPandas(cut, schema)
+    return map_arrow(rows, ["doc"], "piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, cut)
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
@@ -177,14 +175,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     share is still dealt out evenly.
 
     Null and empty texts are the end id alone; null and repeated ids and repeated
-    rows are pieces of their own; an empty table gives no rows; other columns take
-    no part.
+    rows are pieces of their own, and ids of any type go through unchanged. Pieces of
+    one length are interchangeable: ties are dealt out by row. A very long text is
+    encoded whole and cut into pieces. An empty table gives no rows; other columns
+    take no part.
 
     Returns ``id_col``, piece, start, length, ids_crc32, sequence_id, offset, and
     ids (bytes) with ``keep_ids``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "packing")
     pieces = tokenize_pieces(docs, path, id_col, text_col, capacity, end_id, keep_ids)
     pieces = scratch.save(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
@@ -198,21 +197,19 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     ranked = ranked.join(counted.select("length", "chunk", before.alias("before")), ["length", "chunk"])
     ranked = ranked.select(*[c for c in pieces.columns if c not in ("row", "chunk")], (F.col("rank") + F.col("before")).alias("rank"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            batch["sequence_id"] = batch["offset"] = np.int64(0)
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            rank, length = batch["rank"].to_numpy(np.int64), batch["length"].to_numpy(np.int64)
+            sequence, offset = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            rank, length = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("rank", "length"))
             for n in np.unique(length):
                 at, table_ = length == n, places.value[int(n)]
                 first, copies, bin_id, start = table_[np.searchsorted(table_[:, 0], rank[at], "right") - 1].T
                 sequence[at] = bin_id + (rank[at] - first) // copies
                 offset[at] = start + (rank[at] - first) % copies * n
-            batch["sequence_id"], batch["offset"] = sequence, offset
-            yield batch.drop(columns="rank")
+            yield batch, None, {"sequence_id": sequence, "offset": offset}
 
-    fields = ", ".join(f"{n} {k}" for n, k in ranked.dtypes if n != "rank")
-    return ranked.mapInPandas(place, fields + ", sequence_id long, offset long").withColumnRenamed("doc", id_col)
+    keep = [c for c in ranked.columns if c != "rank"]
+    return map_arrow(ranked, keep, "sequence_id long, offset long", place, rows=1 << 16).withColumnRenamed("doc", id_col)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs_by_bytes, small_batches, table
+from .common import map_arrow, runs_by_bytes, table, texts_of
 from .wordhash import U, Words
 
 #: Words of a passage.
@@ -150,22 +150,21 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     """Score every whole text with a fitted model, in one narrow pass.
 
     Every passage is encoded, gated attention weighs the passages, and the weighted
-    representation is scored. Null and empty texts are one passage without words.
-    Rows are judged one by one: repeated rows and null ids each keep their row; other
-    columns take no part.
+    representation is scored. Null and empty texts are one passage without words; a
+    very long text is one bag, read in parts of 2 MB with others. Rows are judged one
+    by one: repeated rows, null ids and equal scores each keep their row, and ids of
+    any type go through unchanged. An empty table gives no rows; other columns take
+    no part.
 
     Returns ``id_col``, held_out, score, predicted, passages, key_passage (the one
     with the most attention).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    weights = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(F.col(f"`{id_col}`")).alias("held_out"))
-    kind = dict(rows.dtypes)["id"]
+    weights = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
+            texts = texts_of(batch.column(2))
             score, many, top = [], [], []
             for s in runs_by_bytes(texts):
                 x, first = passages(texts[s])
@@ -175,9 +174,9 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
                 top += [int(f["a"][a:b].argmax()) for a, b in zip(first[:-1], first[1:], strict=True)]
             if texts:
                 p = np.round(np.concatenate(score), 6)
-                yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": p, "predicted": (p >= threshold).astype(np.int32), "passages": np.concatenate(many), "key_passage": np.array(top, np.int64)})
+                yield batch, None, {"score": p, "predicted": (p >= threshold).astype(np.int32), "passages": np.concatenate(many), "key_passage": np.array(top, np.int64)}
 
-    return rows.mapInPandas(judge, f"id {kind}, held_out boolean, score double, predicted int, passages long, key_passage long").withColumnRenamed("id", id_col)
+    return map_arrow(rows, ["id", "held_out"], "score double, predicted int, passages long, key_passage long", judge).withColumnRenamed("id", id_col)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs_by_bytes, small_batches, with_text
+from .common import Scratch, runs_by_bytes, with_text
 
 #: anchors(texts) -> for each text (tokens, digest of the text as kept, sym, u, lo, n); see ``anchors_of``.
 Anchors = Callable[[list[bytes]], Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
@@ -74,7 +74,6 @@ def find_repeats(docs: DataFrame, scratch: Scratch, anchors: Anchors, windows: W
     ``contexts`` finds repeats within symbol groups of at most ``most`` classes from
     the bytes of their ranges; all other groups are counted window by window.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["id"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -45,9 +45,9 @@ TEXTS = [
     (16, B.upper()),
     (None, A),
     (17, prose(6000, 7)),  # long
-    (18, "é€😀 " * 80),
-    (19, edited(B, 1, 3)),
-    (20, B + " " + "tail"),
+    (2**53 + 1, "é€😀 " * 80),  # ids beyond what a float holds, beside a null one
+    (2**53 + 3, edited(B, 1, 3)),
+    (2**53 + 5, B + " " + "tail"),
 ]
 
 
@@ -118,15 +118,60 @@ def test_jaccard_join(docs, none, n, percent):
         assert jaccard_components(none).count() == 0
 
 
-def test_jaccard_near_the_threshold(spark):
+@pytest.mark.parametrize("block", [256, 4])
+def test_jaccard_near_the_threshold(spark, monkeypatch, block):
+    from graphloom.llm import jaccard_join
     from graphloom.llm.jaccard_join import jaccard_components
 
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     base = prose(120, 9)
     rows = [(k, edited(base, k % 9, 100 + k)) for k in range(60)] + [(100 + k, prose(20, 50 + k) + " " + base) for k in range(6)]
+    rows += [(200 + k, edited(prose(200, 10), k % 14, 300 + k)) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(jaccard_components(df, n=4, percent=85), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows, 4, 85), key=key)
 
 
+def test_jaccard_buckets_in_parts(spark):
+    """Buckets that give entries out early, and shingles too common for a bucket, lose nothing."""
+    import pyarrow as pa
+
+    from graphloom.llm import jaccard_join as J
+
+    r = random.Random(12)
+    sets = [np.unique(np.array([(r.randrange(40) * 0x9E3779B97F4A7C15 + 1) % 2**64 for _ in range(12)], np.uint64)) for _ in range(30)]
+    flushes, bits = [sets[:10], sets[10:20], sets[20:]], 4
+    rows = []
+    for f, part in enumerate(flushes):
+        tok, of = np.concatenate(part), np.repeat(np.arange(len(part)), [len(s) for s in part])
+        for b in range(16):
+            at = (tok >> np.uint64(60)).astype(int) == b
+            if at.any():
+                rows.append((b, list(range(10 * f, 10 * f + len(part))), [len(s) for s in part], of[at].astype("<u2").tobytes(), J._packed(tok[at], bits)))
+    rows.sort(key=lambda x: x[0])
+    cols = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_pydict({"id": pa.nulls(len(rows), pa.int64()), "bucket": pa.array(cols[0], pa.int64()), "n": pa.array([0] * len(rows), pa.int64()), "sig": pa.array([0] * len(rows), pa.int64()), "docs": pa.array(cols[1], pa.list_(pa.int64())), "sizes": pa.array(cols[2], pa.list_(pa.int32())), "idx": pa.array(cols[3], pa.binary()), "tok": pa.array(cols[4], pa.binary())})
+    seen = {}
+    for k, s in enumerate(sets):
+        for t in s.tolist():
+            seen.setdefault(t >> 12 << 12, set()).add(k)
+    want = {(t, k) for t, ks in seen.items() if len(ks) > 1 for k in ks}
+    for held in (1 << 20, 8):
+        J.HELD = held
+        got = set()
+        for _, _, c in J._shared(bits)(iter([batch])):
+            got |= {(t % 2**64, k) for t, k in zip(c["tok"].to_pylist(), c["c"].to_pylist(), strict=True)}
+        assert got == want
+    J.HELD = 4 << 20
+
+
+def test_string_ids(spark):
+    from graphloom.llm.jaccard_join import jaccard_components
+
+    rows = [("b", A), ("a", A), (None, A), ("c", "x y")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert rows_of(jaccard_components(df), "doc_id", "component_id") == [(None, "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_components(spark):
     from graphloom.llm.common import Scratch
     from graphloom.llm.graph import components
