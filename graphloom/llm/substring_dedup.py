@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .repeats import anchors_of, apply_removal, covered, find_repeats
-from .wordhash import U, Words, mix, prefix_hash, range_hash
+from .repeats import Kind, anchors_of, apply_removal, covered, find_repeats
+from .wordhash import U, Words, mix, prefix_hash
 
 #: Runs of one word up to so many are named; the most words of a symbol after each pair round.
 RUN, CAPS = 4, (2, 4, 6)
@@ -55,42 +55,38 @@ def recompress(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return name, start, span
 
 
-def _anchors(width: int):
-    reach = width - 2 * EDGE - CAPS[-1] + 1
-    if reach < CAPS[-1]:
-        raise ValueError(f"a window needs at least {2 * EDGE + 2 * CAPS[-1] - 1} words")
+class WordKind(Kind):
+    def __init__(self, width: int):
+        self.width, self.reach = width, width - 2 * EDGE - CAPS[-1] + 1
+        if self.reach < CAPS[-1]:
+            raise ValueError(f"a window needs at least {2 * EDGE + 2 * CAPS[-1] - 1} words")
+        self.splits = tuple(g for g in (2 * CAPS[-1], 4 * CAPS[-1]) if g < width) + (width,)
 
-    def anchors(texts: list[bytes]) -> Iterator[tuple]:
+    def values(self, text: bytes) -> np.ndarray:
+        return Words([text]).hash
+
+    def anchors(self, texts: list[bytes]) -> Iterator[tuple]:
         words = Words(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
-        name, start, span = recompress(words.hash, doc)
+        size = np.diff(words.first)
+        name, start, span = recompress(words.hash, np.repeat(np.arange(len(texts)), size))
         symbol = np.zeros(len(words.hash), np.uint64)
-        total = prefix_hash(words.hash)
         symbol[start] = mix(name + span.astype(np.uint64))
-        # a key lies so far inside its window that these words around it are the window's as well;
-        # with them in the symbol, short phrases of common words are not shared by chance
-        inside = start[(start >= EDGE) & (start + width - EDGE - reach + 1 <= len(words.hash))]
-        around = range_hash(total, inside - EDGE, inside + width - EDGE - reach + 1)
         order = np.full(len(words.hash), np.iinfo(np.uint64).max, np.uint64)
         # long symbols first, then by name; the place in the low bits makes the leftmost win
         order[start] = ((CAPS[-1] - np.minimum(span, CAPS[-1])).astype(np.uint64) << U(60)) | (symbol[start] >> U(36) << U(32)) | start.astype(np.uint64)
-        symbol[inside] = mix(symbol[inside] ^ around)
-        found = anchors_of(order, symbol, total, words.first, width, EDGE, reach)
+        found = anchors_of(order, symbol, prefix_hash(words.hash), words.first[:-1], size, self.width, EDGE, self.reach)
         for k, x in enumerate(found):
-            yield int(words.first[k + 1] - words.first[k]), hashlib.sha256(b" ".join(texts[k].split())).hexdigest(), *x
-
-    return anchors
+            yield int(size[k]), hashlib.sha256(b" ".join(texts[k].split())).hexdigest(), *x
 
+    def split(self, text: bytes) -> list[bytes]:
+        return text.split()
 
-def _windows(width: int):
-    def windows(texts: list[bytes], ranges: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        words = Words(texts)
-        one, two = prefix_hash(words.hash), prefix_hash(mix(words.hash ^ U(0x5851F42D4C957F2D)))
-        for k, r in enumerate(ranges):
-            at = r + words.first[k]
-            yield range_hash(one, at, at + width).view(np.int64), (range_hash(two, at, at + width) >> U(33)).astype(np.int32)
+    def context(self, parts: list[bytes], start: int, end: int) -> bytes:
+        return b" ".join(parts[start:end])
 
-    return windows
+    def tokens(self, contexts: list[bytes]) -> list[np.ndarray]:
+        number: dict[bytes, int] = {}
+        return [np.array([number.setdefault(w, len(number)) for w in c.split()], np.int64) for c in contexts]
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
@@ -109,9 +105,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns ``id_col``, n_words, n_removed, kept_sha256 (of the kept words joined by
     one space), kept_text (null where nothing was removed).
     """
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.withColumns({"k": F.xxhash64("id"), "h": F.xxhash64("text")})
     scratch = Scratch(docs.sparkSession, "substrings")
-    rows, removed = find_repeats(docs, scratch, _anchors(width), _windows(width), "document")
+    rows, removed = find_repeats(docs, scratch, WordKind(width), "document")
 
     def cut(text: bytes, s, e) -> tuple:
         words = text.split()

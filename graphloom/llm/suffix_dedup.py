@@ -1,4 +1,4 @@
-"""Suffix-array dedup: previous and next factors of a given length, from suffix order."""
+"""Suffix-array dedup: longest previous factors from previous and next smaller places in suffix order."""
 
 from __future__ import annotations
 
@@ -6,160 +6,41 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .repeats import anchors_of, apply_removal, covered, find_repeats
-from .wordhash import BYTE_VALUE, U, mix, prefix_hash, range_hash
+from .repeats import Kind, apply_removal, covered, find_repeats, gram_anchors
+from .wordhash import BYTE_VALUE
 
 #: Bytes of the gram whose least hash is a window's key: long enough that few are shared by chance.
 GRAM = 40
-#: Symbol groups of at most so many different contexts (some 400 bytes each) get a suffix array; larger ones are spread window by window.
-GROUP = 4096
-#: Bytes of contexts that one suffix array takes; a group is never split.
-ARRAY_BYTES = 1 << 20
 
 
-def factor_flags(contents: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content, start, earlier, later) of every ``width``-byte string in the contents.
+class Bytes(Kind):
+    def __init__(self, width: int):
+        if width <= GRAM:
+            raise ValueError(f"width must be above {GRAM}")
+        self.width = width
+        self.splits = tuple(g for g in (2 * GRAM, 4 * GRAM) if g < width) + (width,)
 
-    Suffixes are ordered by their first ``width`` bytes by prefix doubling, then by
-    place. In that order the nearest smaller place on either side with a common
-    prefix of ``width`` bytes is the neighbour of the same rank: a string has a
-    longest previous factor of ``width`` or more if the suffix before it is of its
-    rank, and a next one if the suffix after it is.
-    """
-    size = np.array([len(c) for c in contents], np.int64)
-    begin = np.cumsum(size) - size
-    raw = np.frombuffer(b"".join(contents) + bytes(width), np.uint8)
-    of = np.repeat(np.arange(len(contents)), np.maximum(size - width + 1, 0))
-    many = np.maximum(size - width + 1, 0)
-    start = np.arange(len(of)) - (np.cumsum(many) - many)[of] if len(of) else of
-    n = len(raw) - width
-    if not len(of):
-        none = np.zeros(0, bool)
-        return of, start, none, none
-    rank, step = raw.astype(np.int64), 1
-    at = begin[of] + start
-    while step < width:
-        shift = min(step, width - step)
-        moved = np.concatenate([rank[shift:], np.zeros(shift, np.int64)])
-        if step < 4:  # up to four bytes are their own rank
-            rank = (rank << (8 * shift)) | (moved & ((1 << (8 * shift)) - 1))
-        else:
-            pair = (rank.astype(np.uint64) << U(32)) | moved.astype(np.uint64)
-            if step + shift >= width:
-                pair = pair[at]
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        step += shift
-    if len(rank) != len(of):
-        rank = rank[at]
-    order = np.argsort(rank, kind="stable")  # places ascend within a rank
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(of), bool), np.zeros(len(of), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return of, start, earlier, later
-
-
-def _prepared(texts: list[bytes]):
-    data = b"\n".join(texts) + b"\n" + bytes(GRAM)
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(length + 1)])
-
-
-def _anchors(width: int):
-    reach = width - GRAM + 1
-
-    def anchors(texts: list[bytes]) -> Iterator[tuple]:
-        raw, first = _prepared(texts)
-        total = prefix_hash(BYTE_VALUE[raw])
-        n = len(raw) - GRAM + 1
-        place = np.arange(n)
-        symbol = range_hash(total, place, place + GRAM)
-        order = (mix(symbol) >> U(32) << U(32)) | place.astype(np.uint64)
-        # a text is followed by one byte that is not its own
-        found = list(_by_text(order, symbol, total, first, width, reach))
-        for t, x in zip(texts, found, strict=True):
+    def values(self, text: bytes) -> np.ndarray:
+        return BYTE_VALUE[np.frombuffer(text, np.uint8)]
+
+    def anchors(self, texts: list[bytes]) -> Iterator[tuple]:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        values = self.values(b"".join(texts) + bytes(GRAM))
+        for t, x in zip(texts, gram_anchors(values, np.cumsum(size) - size, size, self.width, GRAM), strict=True):
             yield len(t), hashlib.sha256(t).hexdigest(), *x
 
-    return anchors
-
-
-def _by_text(order, symbol, total, first, width, reach):
-    """anchors_of for texts that one separating byte follows: windows with it are left out."""
-    for k, (sym, u, lo, n) in enumerate(anchors_of(order, symbol, total, first, width, 0, reach)):
-        end = int(first[k + 1] - first[k]) - 1 - width  # the last start within the text
-        if len(lo) and lo[-1] + n[-1] - 1 > end:
-            # the separator is only in the very last window: take it off that anchor
-            a, b = int(lo[-1]), int(lo[-1] + n[-1] - 2)
-            if b < a:
-                sym, u, lo, n = sym[:-1], u[:-1], lo[:-1], n[:-1]
-            else:
-                key = int((np.min(order[first[k] + a : first[k] + a + reach])) & U(0xFFFFFFFF)) - int(first[k])
-                g = first[k]
-                with np.errstate(over="ignore"):
-                    last = mix(range_hash(total, np.array([g + a]), np.array([g + b + width])) + U(key - a)).view(np.int64)
-                u, n = np.append(u[:-1], last), np.append(n[:-1], np.int32(b - a + 1))
-        yield sym, u, lo, n
-
-
-def _windows(width: int):
-    def windows(texts: list[bytes], ranges: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        raw, first = _prepared(texts)
-        one, two = prefix_hash(BYTE_VALUE[raw]), prefix_hash(mix(BYTE_VALUE[raw]))
-        for k, r in enumerate(ranges):
-            at = r + first[k]
-            yield range_hash(one, at, at + width).view(np.int64), (range_hash(two, at, at + width) >> U(33)).astype(np.int32)
-
-    return windows
-
-
-def _contexts(width: int, keep: str):
-    """Suffix arrays over the contexts of each symbol group, a few groups at a time."""
-
-    def run(few: DataFrame, scratch: Scratch) -> DataFrame:
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for i, text, *at in zip(batch["id"], batch["text"], batch["sym"], batch["lo"], batch["c"], batch["len"], strict=True):
-                    t = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                    out += [(sym, i, lo, c, t[lo : lo + n + width - 1]) for sym, lo, c, n in zip(*at, strict=True)]
-                if out:
-                    yield pd.DataFrame(out, columns=["sym", "id", "lo", "c", "content"])
-
-        kind = dict(few.dtypes)["id"]
-        parts = few.mapInPandas(cut, f"sym long, id {kind}, lo int, c long, content binary")
-        parts = scratch.save(parts, "contexts").repartition("sym").sortWithinPartitions("sym", "id", "lo", "c")
-
-        def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            syms, cs, contents, size = [], [], [], 0
-
-            def solved(upto: int) -> pd.DataFrame:
-                of, start, earlier, later = factor_flags(contents[:upto], width)
-                hit = earlier if keep == "first" else earlier | later
-                of, start = of[hit], start[hit]
-                cut_at = np.searchsorted(of, np.arange(upto + 1))
-                some = np.flatnonzero(np.diff(cut_at))
-                return pd.DataFrame({"c": np.array(cs, np.int64)[some], "js": [start[cut_at[k] : cut_at[k + 1]].astype(np.int32) for k in some]})
-
-            for batch in batches:
-                for s, c, t in zip(batch["sym"], batch["c"], batch["content"], strict=True):
-                    if size >= ARRAY_BYTES and s != syms[-1]:
-                        yield solved(len(cs))
-                        syms, cs, contents, size = [], [], [], 0
-                    syms.append(s)
-                    cs.append(c)
-                    contents.append(t)
-                    size += len(t)
-            if cs:
-                yield solved(len(cs))
-
-        return parts.select("sym", "c", "content").mapInPandas(flags, "c long, js array<int>")
-
-    return run
+    def split(self, text: bytes) -> bytes:
+        return text
+
+    def context(self, parts: bytes, start: int, end: int) -> bytes:
+        return parts[start:end]
+
+    def tokens(self, contexts: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(c, np.uint8).astype(np.int64) for c in contexts]
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, keep: str = "none") -> DataFrame:
@@ -169,22 +50,26 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes; matches never cross documents. Suffixes are spread by the
     least gram in their first ``width`` bytes, so equal strings meet; ranges of
     equal bytes around one gram are one context. A suffix array over the contexts of
-    each gram, truncated at ``width``, gives previous and next factors; groups of
-    more than GROUP contexts, which one task should not hold, compare the same
-    suffixes by hashes (96 bits) in a shuffle instead. See ``repeats``.
+    each gram gives each suffix's longest previous factor: the longer of its common
+    prefixes with the nearest suffixes before and after it in order that have a
+    smaller place. It was seen earlier if that is ``width`` bytes. A gram of more than
+    GROUP contexts is split by longer grams, up to the strings themselves, so that
+    every group gets a suffix array and none grows with the input. See ``repeats``.
 
     Null and short texts lose nothing (null has no bytes). With keep="first" null
-    ids neither lose nor cause removals. Equal ids are different documents, but rows
-    of equal id and text get one result: each loses what any of them loses. Kept
-    bytes need not be whole characters, so kept_bytes is binary. Other columns take
-    no part.
+    ids neither lose nor cause removals, and ties of id and place (repeated rows) are
+    broken by row. Equal ids are different documents. A very long text is scanned
+    whole, with its anchors in one row. Kept bytes need not be whole characters, so
+    kept_bytes is binary. Ids of any type go through unchanged; an empty table gives
+    no rows; other columns take no part.
 
     Returns ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, kept_bytes (null where nothing was removed).
     """
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.withColumns({"k": F.xxhash64("id"), "h": F.xxhash64("text")})
     scratch = Scratch(docs.sparkSession, "suffixes")
-    rows, removed = find_repeats(docs, scratch, _anchors(width), _windows(width), keep, _contexts(width, keep), GROUP)
+    rows, removed = find_repeats(docs, scratch, Bytes(width), keep)
 
     def cut(text: bytes, s, e) -> tuple:
         gone = covered(s, e, len(text), width)

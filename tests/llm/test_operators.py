@@ -82,30 +82,52 @@ def test_substring_dedup(docs, none):
     assert dedup_substrings(none).count() == 0
 
 
-@pytest.mark.parametrize("group", [4096, 0])
+@pytest.mark.parametrize("group", [4096, 1])
 def test_suffix_dedup(docs, none, monkeypatch, group):
-    from graphloom.llm import suffix_dedup
+    from graphloom.llm import repeats, suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # with 0 every group is compared by hashes
+    monkeypatch.setattr(repeats, "GROUP", group)  # with 1 every symbol is split, up to single windows
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert rows_of(suffix_dedup.dedup_suffixes(docs), *cols) == sorted(brute.suffixes(TEXTS, 200), key=key)
-    if group:
+    if group > 1:
         assert suffix_dedup.dedup_suffixes(none).count() == 0
     some = [(i, t) for i, t in TEXTS if i is not None and (i, t) != (3, A)]
     first = suffix_dedup.dedup_suffixes(docs.dropna(subset=["doc_id"]).filter("doc_id <> 3"), keep="first")
     assert rows_of(first, *cols) == sorted(brute.suffixes(some, 200, "first"), key=key)
 
 
-def test_factor_flags():
-    from graphloom.llm.suffix_dedup import factor_flags
+def test_substring_dedup_splits(docs, monkeypatch):
+    from graphloom.llm import repeats, substring_dedup
+
+    monkeypatch.setattr(repeats, "GROUP", 1)
+    got = substring_dedup.dedup_substrings(docs)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(TEXTS, 50), key=key)
+
+
+def test_a_group_above_the_limit(spark, monkeypatch):
+    """More contexts of one gram than a suffix array takes: a shared passage with other bytes around it in each text."""
+    from graphloom.llm import repeats, suffix_dedup
+
+    monkeypatch.setattr(repeats, "GROUP", 16)
+    passage = prose(60, 900)
+    rows = [(k, prose(20, 910 + k) + " " + passage + " " + prose(20, 990 + k % 7)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows_of(suffix_dedup.dedup_suffixes(df), *cols) == sorted(brute.suffixes(rows, 200), key=key)
+
+
+def test_factors():
+    from graphloom.llm.repeats import factors
 
     r = random.Random(1)
-    for width in (3, 5, 8, 16, 21):
-        contents = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(6)]
-        of, start, earlier, later = factor_flags(contents, width)
-        seen = [contents[a][b : b + width] for a, b in zip(of, start, strict=True)]
-        assert list(earlier) == [x in seen[:k] for k, x in enumerate(seen)]
+    for width in (1, 3, 5, 8, 16, 21):
+        contents = [np.array([r.choice((1, 2)) for _ in range(r.randint(0, 60))], np.int64) for _ in range(6)]
+        of, start, lpf, source, later = factors(contents, width)
+        seen = [tuple(contents[a][b : b + width]) for a, b in zip(of, start, strict=True)]
+        common = lambda x, y: next((k for k in range(width) if x[k] != y[k]), width)
+        assert list(lpf) == [max((common(x, y) for y in seen[:k]), default=0) for k, x in enumerate(seen)]
         assert list(later) == [x in seen[k + 1 :] for k, x in enumerate(seen)]
+        assert all(s < k and common(seen[k], seen[s]) == lpf[k] for k, s in enumerate(source) if s >= 0)
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
