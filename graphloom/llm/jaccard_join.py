@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ from .graph import components
 from .wordhash import U, Words, mix, shingles
 
 #: Shingles that a task gathers before it sends them on, and documents among them at most.
-FLUSH, FLUSH_DOCS = 1 << 20, 60_000
-#: Buckets of shingles for each shuffle partition; a bucket is resolved at once.
-BUCKETS = 4
+FLUSH, FLUSH_DOCS = 1 << 20, 1 << 16
+#: Buckets of shingles for each shuffle partition, at least; a bucket is resolved at once.
+BUCKETS = 1
 #: Entries after which a bucket lets go of those that are decided.
 HELD = 4 << 20
 #: Postings of a block; lists are compared block by block.
@@ -54,7 +55,8 @@ def _gather(n: int, bits: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        toks, sigs, sizes, known, held, spread = [], [], [], set(), 0, 0
+        toks, sigs, sizes, known, held = [], [], [], set(), 0
+        spread = TaskContext.get().partitionId() * 1_000_003 if TaskContext.get() else 0
 
         def blobs():
             nonlocal toks, sigs, sizes, known, held, spread
@@ -69,20 +71,22 @@ def _gather(n: int, bits: int):
             nth = np.arange(len(tok)) - np.repeat(new, np.diff(np.append(new, len(tok))))
             bucket = (tok >> U(64 - bits)).astype(np.int64)
             more = nth >= 2
-            out = {"bucket": [], "n": [], "sig": [], "docs": [], "sizes": [], "idx": [], "tok": []}
+            out = {"bucket": [], "docs": [], "sizes": [], "many": [], "tok": []}
             for part, sign in ((~more, 1), (more, -1)):
                 t, o, b = tok[part], of[part], bucket[part]
+                by = np.lexsort((o, b))
+                t, o, b = t[by], o[by], b[by]
                 cut = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(b)) if len(b) else np.zeros(1, np.int64)
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    docs, idx = np.unique(o[x:y], return_inverse=True)
+                    docs, many = np.unique(o[x:y], return_counts=True)
                     spread += 1
                     out["bucket"].append(int(b[x]) if sign > 0 else -1 - int(b[x]) - (spread << bits))
                     out["docs"].append(sig[docs])
                     out["sizes"].append(size[docs])
-                    out["idx"].append(idx.astype("<u2").tobytes())
+                    out["many"].append(many)
                     out["tok"].append(_packed(t[x:y], bits))
             m = len(out["tok"])
-            yield None, None, out | {"n": [0] * m, "sig": [0] * m, "docs": lists(out["docs"], np.int64), "sizes": lists(out["sizes"], np.int32)}
+            yield None, None, out | {"n": [0] * m, "sig": [0] * m, "docs": lists(out["docs"], np.int64), "sizes": lists(out["sizes"], np.int32), "many": lists(out["many"], np.int32)}
 
         empty = None
         for batch in batches:
@@ -104,7 +108,8 @@ def _gather(n: int, bits: int):
                             yield empty_ids(batch, len(cols["n"])), None, cols
             m = batch.num_rows
             none = [None] * m
-            yield batch, None, {"bucket": [-1 - (spread << bits)] * m, "n": rows[0], "sig": rows[1], "docs": none, "sizes": none, "idx": none, "tok": none}
+            spread += m
+            yield batch, None, {"bucket": [-1 - ((spread - k) << bits) for k in range(m)], "n": rows[0], "sig": rows[1], "docs": none, "sizes": none, "many": none, "tok": none}
             empty = batch.slice(0, 0)
         if empty is not None:
             for _, _, cols in blobs():
@@ -127,8 +132,12 @@ def _shared(bits: int):
         now, tok, sig, size, held, common = None, [], [], [], 0, np.zeros(0, np.uint64)
 
         def entries(t, s, z):
-            m = len(t)
-            return None, None, {"kind": pa.array(np.ones(m, np.int32)), "tok": pa.array(t.view(np.int64)), "c": pa.array(s), "n": pa.array(z.astype(np.int64))}
+            """A row for each set, with its shared shingles of this bucket."""
+            by = np.argsort(s, kind="stable")
+            t, s, z = t[by], s[by], z[by]
+            cut = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (z[1:] != z[:-1])]))
+            toks = pa.ListArray.from_arrays(pa.array(np.append(cut, len(t)).astype(np.int32)), pa.array(t.view(np.int64)))
+            return None, None, {"kind": pa.array(np.ones(len(cut), np.int32)), "toks": toks, "c": pa.array(s[cut]), "n": pa.array(z[cut].astype(np.int64))}
 
         def resolve(last: bool):
             nonlocal tok, sig, size, held, common
@@ -154,16 +163,16 @@ def _shared(bits: int):
                 tok, sig, size, held, common = [], [], [], 0, np.zeros(0, np.uint64)
 
         for batch in batches:
-            col = {k: batch.column(batch.schema.get_field_index(k)) for k in ("bucket", "n", "sig", "docs", "sizes", "idx", "tok")}
+            col = {k: batch.column(batch.schema.get_field_index(k)) for k in ("bucket", "n", "sig", "docs", "sizes", "many", "tok")}
             docs = np.flatnonzero(col["tok"].is_null().to_numpy(zero_copy_only=False))
             if len(docs):
                 m = len(docs)
-                yield batch, docs, {"kind": pa.array(np.zeros(m, np.int32)), "tok": pa.array(np.zeros(m, np.int64)), "c": col["sig"].take(pa.array(docs)), "n": col["n"].take(pa.array(docs))}
+                yield batch, docs, {"kind": pa.array(np.zeros(m, np.int32)), "toks": [None] * m, "c": col["sig"].take(pa.array(docs)), "n": col["n"].take(pa.array(docs))}
             bucket = col["bucket"].to_numpy()
             for k in np.flatnonzero(~col["tok"].is_null().to_numpy(zero_copy_only=False)):
                 b = int(bucket[k])
-                idx = np.frombuffer(col["idx"][k].as_py(), "<u2")
-                s, z = col["docs"][k].values.to_numpy()[idx], col["sizes"][k].values.to_numpy()[idx]
+                many = col["many"][k].values.to_numpy()
+                s, z = np.repeat(col["docs"][k].values.to_numpy(), many), np.repeat(col["sizes"][k].values.to_numpy(), many)
                 if b < 0:
                     yield entries(_unpacked((-1 - b) & ((1 << bits) - 1), col["tok"][k].as_py(), bits), s, z)
                     continue
@@ -173,7 +182,7 @@ def _shared(bits: int):
                 tok.append(_unpacked(b, col["tok"][k].as_py(), bits))
                 sig.append(s)
                 size.append(z)
-                held += len(idx)
+                held += len(s)
                 if held >= HELD:
                     yield from resolve(False)
                     held = min(held, HELD // 2)
@@ -183,7 +192,7 @@ def _shared(bits: int):
         kept = None
         for batch, take, cols in run(remember(batches)):
             if batch is None:
-                m = len(cols["c"])
+                m = len(cols["n"])
                 batch = pa.RecordBatch.from_arrays([pa.nulls(m, f.type) for f in remembered[0]], schema=remembered[0])
             yield batch, take, cols
 
@@ -306,16 +315,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, math.ceil(math.log2(BUCKETS * parts)))
-    sent = map_arrow(docs, ["id"], "bucket long, n long, sig long, docs array<long>, sizes array<int>, idx binary, tok binary", _gather(n, bits))
+    bits = max(4, math.ceil(math.log2(max(1, BUCKETS * parts))))
+    sent = map_arrow(docs, ["id"], "bucket long, n long, sig long, docs array<long>, sizes array<int>, many array<int>, tok binary", _gather(n, bits))
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
-    both = scratch.save(map_arrow(sent, ["id"], "kind int, tok long, c long, n long", _shared(bits)), "shared")
+    both = scratch.save(map_arrow(sent, ["id"], "kind int, toks array<long>, c long, n long", _shared(bits), rows=64), "shared")
     rows = both.filter("kind = 0").select("id", "c", "n")
 
     def likely(sets: DataFrame) -> DataFrame:
         return sets.filter(100 * F.size("toks") >= percent * F.col("n"))
 
-    sets = likely(both.filter("kind = 1").groupBy("c").agg(F.max("n").alias("n"), F.collect_set("tok").alias("toks")))
+    sets = likely(both.filter("kind = 1").groupBy("c").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks")))
     sets = scratch.save(sets, "sets0")
     for k in (1, 2):
         one = sets.select("c", "n", F.explode("toks").alias("tok"))
