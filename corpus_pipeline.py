@@ -14,54 +14,84 @@ from graphloom.llm import decontaminate, jaccard_join, packing, pii, quality
 from graphloom.llm.common import Scratch, small, table
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with ``_key``, of id and text, so that rows with one id and different texts are judged on their own."""
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the rows do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a key of id and text, so that rows with one id and different texts are judged on their own; and its name.
+
+    A null id or text has a key as well; only rows equal in both share one.
+    """
+    name = _fresh(docs, "_key")
     key = F.concat(F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("")), F.lit(":"), F.hex(F.xxhash64("text")))
-    return docs.withColumn("_key", key)
+    return docs.withColumn(name, key), name
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Keyed docs but those of the rejected keys: by broadcast while they are few, else by a shuffled join."""
-    return docs.join(small(rejected.select("_key").distinct()), "_key", "left_anti").drop("_key")
+def _without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    """Keyed docs but those of the rejected keys (column k): by broadcast while they are few, else by a shuffled join."""
+    return docs.join(small(rejected.select("k").distinct()), F.col(key) == F.col("k"), "left_anti").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below its threshold go."""
+    """Documents that the classifier scores below its threshold go.
+
+    Null and empty texts are scored like others; repeated rows and ties have one
+    score and stay or go together; without labels of both classes the model's
+    constant score decides. Further columns, whatever their names, stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    docs = _keyed(docs)
-    scored = Scratch(spark, "quality-stage").save(quality.score_documents(docs, model, "_key").filter("predicted = 0").select("_key"), "rejected")
-    return _without(docs, scored)
+    docs, key = _keyed(docs)
+    scored = quality.score_documents(docs.select(F.col(key).alias("k"), "text"), model, "k").filter("predicted = 0").select("k")
+    return _without(docs, key, Scratch(spark, "quality-stage").save(scored, "rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays: that of the smallest key."""
-    docs = _keyed(docs)
-    linked = Scratch(spark, "near-stage").save(jaccard_join.jaccard_components(docs, "_key", n=5, percent=80), "linked")
-    kept = _without(docs, linked.filter(F.col("_key") != F.col("component_id")))
-    again = linked.filter((F.col("_key") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("_key").count().filter("count > 1").select("_key")
+    """One document of each group of near-duplicates (five words, 0.8) stays: that of the smallest key.
+
+    Texts without words (null, empty, white space) are in no group and all stay; of
+    rows that repeat with id and text one stays.
+    """
+    docs, key = _keyed(docs)
+    linked = jaccard_join.jaccard_components(docs.select(F.col(key).alias("k"), "text"), "k", n=5, percent=80)
+    linked = Scratch(spark, "near-stage").save(linked, "linked")
+    kept = _without(docs, key, linked.filter(F.col("k") != F.col("component_id")))
+    again = linked.filter((F.col("k") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("k").count().filter("count > 1").select("k")
     if again.isEmpty():
         return kept
-    kept = _keyed(kept)  # rows that repeat with id and text: one of each stays
-    once = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.join(again, "_key", "left_anti").unionByName(once).drop("_key")
+    kept, key = _keyed(kept)  # rows that repeat with id and text: one of each stays
+    same = F.col(key) == F.col("k")
+    once = kept.join(again, same, "left_semi").dropDuplicates([key])
+    return kept.join(again, same, "left_anti").unionByName(once).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    docs = _keyed(docs)
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), "_key")
-    return _without(docs, Scratch(spark, "leak-stage").save(found.filter("contaminated").select("_key"), "rejected"))
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; an empty benchmark lets all stay;
+    repeated rows stay or go together.
+    """
+    docs, key = _keyed(docs)
+    found = decontaminate.find_contamination(docs.select(F.col(key).alias("k"), "text"), table(spark, sf_dir, "benchmark"), "k")
+    return _without(docs, key, Scratch(spark, "leak-stage").save(found.filter("contaminated").select("k"), "rejected"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data is replaced by its kind; n_chars follows where a text changed.
+
+    Null and empty texts stay as they are, and no row goes.
+    """
     changed = pii.redact(docs, pii.train(*pii.labelled_windows(docs)))
-    length = F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", length).drop("_changed")
+    new = F.col("_redacted.text")
+    length = F.when(F.col("_redacted.changed"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumns({"text": new, "n_chars": length}).drop("_redacted")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences."""
+    """Pieces of the documents' tokens with their places in sequences; a null or empty text is its end token."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
