@@ -343,6 +343,45 @@ def test_topk_bounds_enclose_scores():
     assert (lower == upper).all()
 
 
+def test_topk_stops_early():
+    """On skewed data most rows are closed by their bounds, and their scores are never computed."""
+    from graphloom.llm.topk_search import Block
+
+    g = np.random.default_rng(2)
+    x = np.floor(g.normal(0, 20, (1000, 16)))
+    x[:8] += 400  # a few rows far ahead
+    q = np.floor(np.abs(g.normal(0, 30, (6, 16)))) + 1
+    block = Block(np.arange(1000), x)
+    got = {k: (i, s) for k, i, s in block.top(np.full(6, -1), q, 5, np.full(6, -np.inf))}
+    for k in range(6):
+        s = x @ q[k]
+        best = np.lexsort((np.arange(1000), -s))[:5]
+        order = np.lexsort((got[k][0], -got[k][1]))[:5]
+        assert list(got[k][0][order]) == list(best)
+    assert block.resolved <= 6 * 8 and block.closed == block.pairs - block.resolved
+    # once the floor is known, a block of others stops without a single score
+    rest = Block(np.arange(8, 1000), x[8:])
+    assert list(rest.top(np.full(6, -1), q, 5, np.array([np.sort(x @ v)[-5] for v in q]))) == []
+    assert rest.stopped == 6 and rest.resolved == 0
+
+
+def test_topk_grid(spark, monkeypatch):
+    """Many cells, and queries of one id with different vectors."""
+    from graphloom.llm import topk_search as T
+
+    monkeypatch.setattr(T, "CELL_ROWS", 40)
+    monkeypatch.setattr(T, "CELL_QUERIES", 3)
+    g = np.random.default_rng(4)
+    rows = [(int(k), [float(v) for v in g.normal(0, 1, 5)]) for k in range(200)] + [(50, [9.0, 0.0, 0.0, 0.0, 0.0]), (50, [9.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    vec = [(i, np.floor(256 * np.array(v))) for i, v in rows]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in vec if i % 50 == 0}:
+        s = sorted((-int(np.array(v) @ w), i) for i, w in vec if i != q)[:5]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert rows_of(T.top_k(df, df.filter("vec_id % 50 = 0")), "query_id", "rank", "vec_id", "score") == sorted(want)
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
