@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session has none, a folder of this machine that goes at exit."""
+    """spark.checkpoint.dir; only a local session without one gets a folder of this machine, which goes at exit.
+
+    On a cluster a missing setting is an error, as executors would write to their own disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -21,8 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone, and with it the way to the folder
+        pass
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the application ends, as results are read lazily."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a Parquet table: later plans start there and know its size."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,6 +48,23 @@ def rdfs9(types: DataFrame, sub_class: DataFrame) -> DataFrame:
     return types.filter(~is_literal("s")).join(sub_class, types["o"] == sub_class["sub"]).select(*_typed(F.col("s"), F.col("sup")))
 
 
+def chained(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(sub, sup) by an edge of ``first`` and then one of ``second``."""
+    on = second.withColumnsRenamed({"sub": "mid", "sup": "top"})
+    return first.join(on, F.col("sup") == F.col("mid")).select("sub", F.col("top").alias("sup"))
+
+
+def with_above(used: DataFrame, sub_property: DataFrame) -> DataFrame:
+    """Predicates (one column p) and those above them."""
+    return used.unionByName(used.join(sub_property, used["p"] == sub_property["sub"]).select(F.col("sup").alias("p"))).distinct()
+
+
+def composed(edges: DataFrame, sub_property: DataFrame, sub_class: DataFrame) -> DataFrame:
+    """(property, class) that domain or range ``edges`` give over the properties above and the classes above."""
+    direct = edges.unionByName(chained(sub_property, edges)).distinct()
+    return direct.unionByName(chained(direct, sub_class)).distinct()
+
+
 def rdf1(plain: DataFrame, v: V.Vocabulary) -> DataFrame:
     return plain.select("p").distinct().select(*_typed(F.col("p"), v.property))
 
