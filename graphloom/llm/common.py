@@ -88,11 +88,6 @@ class Scratch:
             fs.delete(p, True)
 
 
-def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns; others, whatever their names, take no part."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 #: What one broadcast may take: rows, and bytes of a row's columns by its types (text is measured).
 BROADCAST_BYTES = 32 << 20
 
@@ -146,7 +141,7 @@ def map_arrow(df: DataFrame, keep: list[str], ddl: str, run: Callable[[Iterator[
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = {f.name: to_arrow_type(f.dataType) for f in made.fields}
-    schema = T.StructType([*[df.schema[k] for k in keep], *made.fields])
+    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *made.fields])
 
     def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,18 +159,6 @@ def map_arrow(df: DataFrame, keep: list[str], ddl: str, run: Callable[[Iterator[
     return df.mapInArrow(go, schema)
 
 
-def with_text(keyed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds text to rows of (id, h, ...), one for each (id, h), from docs (id, h, text).
-
-    h is a hash of the text, so repeated ids keep their own texts. Texts of other
-    documents are left out before anything is shuffled, while the keys are few.
-    """
-    same = (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))
-    ids = small(keyed.select(F.col("id").alias("i"), F.col("h").alias("g")))
-    texts = docs.join(ids, same, "left_semi").dropDuplicates(["id", "h"])
-    return texts.join(keyed.withColumnsRenamed({"id": "i", "h": "g"}), same).drop("i", "g")
-
-
 def runs_by_bytes(texts: list[bytes], limit: int = 1 << 21) -> list[slice]:
     """Consecutive texts of at most ``limit`` bytes together; a longer text is alone."""
     out, at, size = [], 0, 0
