@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def _without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
     """Keyed docs but those of the rejected keys (column k): by broadcast while they are few, else by a shuffled join."""
-    return docs.join(small(rejected.select("k").distinct()), F.col(key) == F.col("k"), "left_anti").drop(key)
+    return docs.join(small(rejected.select(F.col("k").alias(key)).distinct()), key, "left_anti").select(*[c for c in docs.columns if c != key])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +63,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return kept
     kept, key = _keyed(kept)  # rows that repeat with id and text: one of each stays
-    same = F.col(key) == F.col("k")
-    once = kept.join(again, same, "left_semi").dropDuplicates([key])
-    return kept.join(again, same, "left_anti").unionByName(once).drop(key)
+    again = again.withColumnRenamed("k", key)
+    once = kept.join(again, key, "left_semi").dropDuplicates([key])
+    return kept.join(again, key, "left_anti").unionByName(once).select(*[c for c in kept.columns if c != key])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,10 +84,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are, and no row goes.
     """
-    changed = pii.redact(docs, pii.train(*pii.labelled_windows(docs)))
-    new = F.col("_redacted.text")
-    length = F.when(F.col("_redacted.changed"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumns({"text": new, "n_chars": length}).drop("_redacted")
+    made = _fresh(docs, "_redacted")
+    changed = pii.redact(docs, pii.train(*pii.labelled_windows(docs)), out_col=made)
+    new = F.col(f"{made}.text")
+    length = F.when(F.col(f"{made}.changed"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumns({"text": new, "n_chars": length}).drop(made)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
