@@ -300,20 +300,32 @@ def q_local_dedup_equiv(spark, d):
     return once.groupBy("p").agg(F.sum("k").alias("derived"), F.count(F.lit(1)).alias("kept"))
 
 
+@_query("q_local_dedup", _with("SELECT p, count(*) AS n FROM (SELECT * FROM rho EXCEPT SELECT * FROM given) GROUP BY p"))
+def q_local_dedup(spark, d):
+    """Each rule's output made distinct first: the same closure."""
+    return S.entailed(Reasoner(spark, local_dedup=True).closure(M.all_triples(spark, d))).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("q_ntriples_lines", _with("SELECT s || ' ' || p || ' ' || o || ' .' AS line FROM (SELECT DISTINCT s, p, o FROM plain)"))
 def q_ntriples_lines(spark, d):
     return N.to_lines(M.plain_triples(spark, d).distinct())
 
 
+_MADE = (
+    """(SELECT count(*) FROM pd JOIN spc ON p = sub) + (SELECT count(*) FROM pd JOIN dc ON p = sub) + (SELECT count(*) FROM pd JOIN rc ON p = sub WHERE o NOT LIKE '"%')
+ + (SELECT count(*) FROM td JOIN scu ON o = sub) + (SELECT count(*) FROM spu) + (SELECT count(*) FROM scu) AS made""",
+    """, pd AS (SELECT DISTINCT * FROM plain), td AS (SELECT DISTINCT * FROM ty), spu AS (SELECT DISTINCT * FROM spc), scu AS (SELECT DISTINCT * FROM scc),
+ dl AS (SELECT sub, sup FROM dom UNION SELECT spu.sub, dom.sup FROM spu JOIN dom ON spu.sup = dom.sub), dc AS (SELECT sub, sup FROM dl UNION SELECT dl.sub, scu.sup FROM dl JOIN scu ON dl.sup = scu.sub),
+ rl AS (SELECT sub, sup FROM rng UNION SELECT spu.sub, rng.sup FROM spu JOIN rng ON spu.sup = rng.sub), rc AS (SELECT sub, sup FROM rl UNION SELECT rl.sub, scu.sup FROM rl JOIN scu ON rl.sup = scu.sub)""",
+)
+
+
 @_query(
     "q_stats",
     _with(
-        f"""SELECT asserted, inferred_unique, made - inferred_unique AS inferred_duplicates FROM (SELECT (SELECT count(*) FROM given) AS asserted, (SELECT count(*) FROM (SELECT * FROM rho EXCEPT SELECT * FROM given)) AS inferred_unique,
- (SELECT count(*) FROM pd JOIN spc ON p = sub) + (SELECT count(*) FROM pd JOIN dc ON p = sub) + (SELECT count(*) FROM pd JOIN rc ON p = sub WHERE o NOT LIKE '"%') + (SELECT count(*) FROM td JOIN scu ON o = sub) + (SELECT count(*) FROM spu) + (SELECT count(*) FROM scu) AS made
- FROM (SELECT 1)) x""",
-        f""", pd AS (SELECT DISTINCT * FROM plain), td AS (SELECT DISTINCT * FROM ty), spu AS (SELECT DISTINCT * FROM spc), scu AS (SELECT DISTINCT * FROM scc),
- dl AS (SELECT sub, sup FROM dom UNION SELECT spu.sub, dom.sup FROM spu JOIN dom ON spu.sup = dom.sub), dc AS (SELECT sub, sup FROM dl UNION SELECT dl.sub, scu.sup FROM dl JOIN scu ON dl.sup = scu.sub),
- rl AS (SELECT sub, sup FROM rng UNION SELECT spu.sub, rng.sup FROM spu JOIN rng ON spu.sup = rng.sub), rc AS (SELECT sub, sup FROM rl UNION SELECT rl.sub, scu.sup FROM rl JOIN scu ON rl.sup = scu.sub)""",
+        "SELECT asserted, inferred_unique, made - inferred_unique AS inferred_duplicates FROM (SELECT (SELECT count(*) FROM given) AS asserted, "
+        f"(SELECT count(*) FROM (SELECT * FROM rho EXCEPT SELECT * FROM given)) AS inferred_unique, {_MADE[0]}) x",
+        _MADE[1],
     ),
 )
 def q_stats(spark, d):
@@ -321,6 +333,13 @@ def q_stats(spark, d):
     return Reasoner(spark).add(M.all_triples(spark, d)).stats()
 
 
+@_query("q_no_global_dedup", _with(f"SELECT FALSE AS entailed, count(*) AS n FROM given UNION ALL SELECT TRUE, made FROM (SELECT {_MADE[0]}) x", _MADE[1]))
+def q_no_global_dedup(spark, d):
+    """Every derivation a row of its own."""
+    every = Reasoner(spark, global_dedup=False).closure(M.all_triples(spark, d).distinct())
+    return every.groupBy("entailed").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("q_dictionary_roundtrip", _with("SELECT DISTINCT s, p, o FROM ty"))
 def q_dictionary_roundtrip(spark, d):
     types = M.type_triples(spark, d).distinct()

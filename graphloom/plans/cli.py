@@ -23,6 +23,8 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--vocab", choices=("compat", "w3c"), default="compat", help="namespaces of Property and Datatype")
     p.add_argument("--identity", choices=("rdf", "lexical"), default="rdf", help="what makes two terms one")
     p.add_argument("--on-cycle", choices=("close", "error"), default="close", help="what a cyclic hierarchy does")
+    p.add_argument("-l", "--local-dedup", action="store_true", help="make each rule's output distinct before all are merged")
+    p.add_argument("-g", "--no-global-dedup", action="store_true", help="leave repeated derivations in the output")
     p.add_argument("--permissive", action="store_true", help="leave out statements that cannot be read")
     p.add_argument("-p", "--print-triples", action="store_true", help="print entailed triples as N-Triples")
     p.add_argument("--print-all", action="store_true", help="print asserted triples too")
@@ -58,7 +60,7 @@ def main(args: list[str] | None = None) -> int:
         given.count()
         times["reading"] = time.perf_counter() - began
         began = time.perf_counter()
-        reasoner = Reasoner(spark, o.rules, o.axioms, o.vocab, o.identity, o.mode, o.on_cycle)
+        reasoner = Reasoner(spark, o.rules, o.axioms, o.vocab, o.identity, o.mode, o.on_cycle, o.local_dedup, not o.no_global_dedup)
         every = reasoner.closure(given).persist()
         counts = reasoner.stats().first()
         times["closure"] = time.perf_counter() - began

@@ -51,13 +51,17 @@ class Reasoner:
     Hierarchies are closed and composed before they meet data: what a predicate
     entails over its super-properties, their domains and ranges and the classes above
     is one small table, so each rule is one join of the data as given, no derived
-    triple is derived from again, and one aggregation ends the plan.
+    triple is derived from again, and one aggregation ends the plan. That aggregation
+    combines within tasks first; ``local_dedup`` makes each rule's output distinct
+    before it, and without ``global_dedup`` it is left out: every match of a rule is a
+    row, whether its triple is known or not.
     """
 
-    def __init__(self, spark: SparkSession, ruleset: str = "rhodf", axioms: bool = False, vocab: str = "compat", identity: str = "rdf", mode: str = "phased", on_cycle: str = "close"):
+    def __init__(self, spark: SparkSession, ruleset: str = "rhodf", axioms: bool = False, vocab: str = "compat", identity: str = "rdf", mode: str = "phased", on_cycle: str = "close", local_dedup: bool = False, global_dedup: bool = True):
         for name, value, allowed in (("ruleset", ruleset, ("rhodf", "rdfs")), ("identity", identity, ("rdf", "lexical")), ("mode", mode, ("phased", "complete"))):
             if value not in allowed:
                 raise ReasonerError(f"{name} {value!r}: one of {', '.join(allowed)}")
+        self.local_dedup, self.global_dedup = local_dedup, global_dedup
         self.spark, self.ruleset, self.axioms, self.identity, self.mode, self.on_cycle = spark, ruleset, axioms, identity, mode, on_cycle
         self.vocab = V.Vocabulary(vocab)
         self.asserted = spark.createDataFrame([], TRIPLE)
@@ -115,6 +119,8 @@ class Reasoner:
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
+        if not self.global_dedup:
+            return out.withColumn("derivations", (F.col("kind") == DERIVED).cast("long"))
         # one aggregation makes the triples distinct and tells asserted ones apart
         return out.groupBy("s", "p", "o").agg(F.min("kind").alias("kind"), F.sum((F.col("kind") == DERIVED).cast("long")).alias("derivations"))
 
@@ -163,6 +169,8 @@ class Reasoner:
             if not new.isEmpty():
                 out.append(R.rdfs7(plain, new.unionByName(R.chained(ordinary, new)).distinct()))
             self._mark("vocabulary")
+        if self.local_dedup:
+            out = [x.distinct() for x in out]
         return _union(*out)
 
     @property

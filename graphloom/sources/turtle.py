@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -35,6 +36,8 @@ _TOKEN = re.compile(
     """,
     re.X | re.S,
 )
+#: Triples that leave the reader at once, so that a large file's triples are never all in memory.
+BATCH = 20_000
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 #: What a backslash and a letter stand for.
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\", ">": ">"}
@@ -254,8 +257,9 @@ def read_turtle(spark: SparkSession, path, mode: str = "FAILFAST") -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, file in zip(batch["value"], batch["file"], strict=True):
-                rows = list(Parser(text, scope_of(file), permissive=mode == "PERMISSIVE"))
-                yield pd.DataFrame(rows, columns=["s", "p", "o"])
+                rows = iter(Parser(text, scope_of(file), permissive=mode == "PERMISSIVE"))
+                while part := list(islice(rows, BATCH)):
+                    yield pd.DataFrame(part, columns=["s", "p", "o"])
 
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return files.mapInPandas(parse, TRIPLE)
