@@ -29,22 +29,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Find the windows of benchmark items that stand in the documents.
 
     A window is ``window`` consecutive words of an item, or all of a shorter one.
-    The places of every benchmark word in all documents are stored as postings.
-    The words' corpus frequencies give each window's two rarest words; their
+    The benchmark words' frequencies over all documents give each window's two rarest
+    words, whose places in all documents are stored as postings; a window's two
     posting lists, moved by the words' places in the window, are intersected. What
     remains is compared word for word with the text: exact phrases make hits, and
     those with ``near`` of the words in place make proximity matches.
 
-    Plan: one scan that explodes words and keeps benchmark words (broadcast hash
-    join, shuffled beyond BROADCAST_BYTES); a count by word; a join of the rare
-    postings by (document, place); one join of candidates with their documents'
-    texts. Only documents with candidates are shuffled with their text.
+    Plan: a scan that counts benchmark words (broadcast hash join, shuffled beyond
+    BROADCAST_BYTES), a scan that keeps the postings of the rare ones, a join of these
+    by (document, place), and one join of candidates with their documents' texts.
+    Only documents with candidates are shuffled with their text.
 
     A document is a row: null ids, repeated ids and repeated rows each keep their
     row (rows with the same id and text have the same result). Null and empty texts
     have no words; items without words have no windows; items with the same id
-    count once, a null id as an empty one. An empty benchmark leaves every document
-    clean. Other columns take no part.
+    count once, a null id as an empty one. Equal frequencies are ordered by term, which
+    changes no result. A very long text is one array of words, only where it has
+    candidates beside them. An empty benchmark leaves every document clean; an empty
+    table gives no rows. Other columns take no part.
 
     Returns ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated, n_near
     (proximity matches), items (sorted ids) and hits: array of (start, length).
@@ -63,9 +65,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     terms = wins.select(F.explode("win").alias("w")).distinct().withColumn("term", F.monotonically_increasing_id())
     terms = scratch.save(terms, "terms")
-    posts = rows.select("id", "h", F.posexplode(_split(F.col("text"))).alias("p", "w")).withColumn("w", lower_ascii(F.col("w")))
-    posts = scratch.save(posts.join(small(terms), "w").select("term", "id", "h", "p"), "postings")
-    counts = scratch.save(posts.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # the corpus frequencies of the benchmark's words, then the postings of each window's two rarest alone
+    seen = rows.select(F.explode(_split(F.col("text"))).alias("w")).withColumn("w", lower_ascii(F.col("w")))
+    counts = scratch.save(seen.join(small(terms), "w").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
 
     placed = wins.select("wid", F.posexplode("win").alias("k", "w")).join(terms, "w").join(counts, "term", "left")
     order = W.partitionBy("wid").orderBy(F.coalesce("n", F.lit(0)), "term", "k")
@@ -74,6 +76,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         F.max(F.when(F.col("r") == 1, F.struct("term", "k"))).alias("a"), F.max(F.when(F.col("r") == 2, F.struct("term", "k"))).alias("b")
     )
     two = scratch.save(two.select("wid", F.col("a.term").alias("term"), F.col("a.k").alias("k"), F.col("b.term").alias("term2"), F.col("b.k").alias("k2")), "rarest")
+    rare = two.select(F.explode(F.array("term", "term2")).alias("term")).dropna().distinct().join(terms, "term")
+    posts = rows.select("id", "h", F.posexplode(_split(F.col("text"))).alias("p", "w")).withColumn("w", lower_ascii(F.col("w")))
+    posts = scratch.save(posts.join(small(rare), "w").select("term", "id", "h", "p"), "postings")
 
     found = posts.join(small(two), "term").select("id", "h", "wid", (F.col("p") - F.col("k")).alias("start"), "term2", "k2").filter("start >= 0")
     single = found.filter(F.col("term2").isNull()).select("id", "h", "wid", "start")
