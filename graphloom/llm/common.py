@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.cluster import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of letters, digits and non-ASCII characters, before lower-casing: A-Z are word characters there.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,25 +28,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session without one gets a temporary folder, set for the session
-    and removed at exit; on a cluster a missing setting is an error, as executors
-    would write to their own disks.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 class Scratch:
     """Tables written in the shared folder, so that no lineage runs through them.
 
@@ -55,7 +36,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
     def _path(self, path: str):

@@ -322,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = both.filter("kind = 0").select("id", "c", "n")
 
     def likely(sets: DataFrame) -> DataFrame:
-        return sets.filter(100 * F.size("toks") >= percent * F.col("n"))
+        return sets.filter(100 * F.size("toks").cast("long") >= percent * F.col("n"))
 
     sets = likely(both.filter("kind = 1").groupBy("c").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks")))
     sets = scratch.save(sets, "sets0")
