@@ -408,3 +408,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}
+
+SQL = {
+    "op9_jaccard_join": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+o AS (SELECT a.r AS x, b.r AS y, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM o JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * o >= 85 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(v, r) AS (SELECT r, r FROM d UNION SELECT e.y, reach.r FROM reach JOIN e ON reach.v = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(q.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.v = d.r JOIN d q ON q.r = reach.r GROUP BY d.r, d.doc_id, n.n
+""",
+}

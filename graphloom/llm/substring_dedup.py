@@ -131,3 +131,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
+
+SQL = {
+    "op5_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i + 1:i + 50], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+hit AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM win JOIN f USING (s) WHERE least < doc_id),
+gone AS (SELECT r, unnest(range(i, i + least(50, coalesce(next - i, 50)))) AS p FROM hit),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r),
+many AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN many USING (r)
+""",
+}

@@ -93,3 +93,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_suffix_dedup": op6_suffix_dedup}
+
+SQL = {
+    "op6_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS s FROM (SELECT r, x, unnest(range(strlen(x) // 2 - 199)) AS i FROM d WHERE strlen(x) >= 400)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+run AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY r, g),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS upto FROM span),
+part AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a) AS t FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE t || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN part USING (r)
+""",
+}
