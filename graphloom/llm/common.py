@@ -69,7 +69,7 @@ class Scratch:
             fs.delete(p, True)
 
 
-#: What one broadcast may take: rows, and bytes of a row's columns by its types (text is measured).
+#: Bytes that one broadcast may take, by the rows' types and the lengths of their texts and arrays.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -84,17 +84,16 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
         if isinstance(kind, T.StringType | T.BinaryType):
             return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
         if isinstance(kind, T.ArrayType):
-            each = F.lit(8) if not isinstance(kind.elementType, T.StringType) else None
-            if each is None:
-                return F.coalesce(F.octet_length(F.array_join(F.col(f"`{name}`"), "")) + 24 * F.size(F.col(f"`{name}`")), F.lit(0)) + 24
-            return F.greatest(F.size(F.col(f"`{name}`")), F.lit(0)) * each + 24
+            c = F.col(f"`{name}`")
+            held = F.octet_length(F.array_join(c, "")) + 24 * F.size(c) if isinstance(kind.elementType, T.StringType) else 8 * F.size(c)
+            return F.greatest(F.coalesce(held, F.lit(0)), F.lit(0)) + 24
         return F.lit(8)
 
     one = F.lit(16)
     for f in df.schema.fields:
         one = one + width(f.name, f.dataType)
     # no row takes less than 24 bytes, so more rows than this are too many whatever they hold
-    got = df.limit(most // 24 + 1).agg(F.sum(one.cast("long"))).first()[0] or 0
+    got = df.select(one.cast("long").alias("b")).limit(most // 24 + 1).agg(F.sum("b")).first()[0] or 0
     return F.broadcast(df) if got <= most else df
 
 
