@@ -80,18 +80,19 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     the limit allows.
     """
 
-    def width(name: str, kind: T.DataType) -> Column:
+    def width(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType | T.BinaryType):
-            return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
         if isinstance(kind, T.ArrayType):
-            c = F.col(f"`{name}`")
             held = F.octet_length(F.array_join(c, "")) + 24 * F.size(c) if isinstance(kind.elementType, T.StringType) else 8 * F.size(c)
             return F.greatest(F.coalesce(held, F.lit(0)), F.lit(0)) + 24
+        if isinstance(kind, T.StructType):
+            return sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
         return F.lit(8)
 
     one = F.lit(16)
     for f in df.schema.fields:
-        one = one + width(f.name, f.dataType)
+        one = one + width(F.col(f"`{f.name}`"), f.dataType)
     # no row takes less than 24 bytes, so more rows than this are too many whatever they hold
     got = df.select(one.cast("long").alias("b")).limit(most // 24 + 1).agg(F.sum("b")).first()[0] or 0
     return F.broadcast(df) if got <= most else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, small, table
 
 #: (host, path, action) of the rules that op3 applies.
 RULES = (
@@ -16,8 +16,6 @@ RULES = (
 )
 #: Hex digits of the hash prefix that is joined on.
 PREFIX_HEX = 8
-#: Rule tables up to so many rows are broadcast; larger ones are shuffled.
-BROADCAST_RULES = 100_000
 #: The verdict of a url that no rule fits.
 DEFAULT = "allow"
 
@@ -46,13 +44,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     digest, then full digests are compared. The longest rule wins; of equally long
     ones that with the longer host; of one expression with both actions, block.
 
-    Plan: scan -> expand -> join (broadcast while the rules are at most
-    BROADCAST_RULES rows, else shuffled) -> one aggregation by row. The partial
+    Plan: scan -> expand -> join (broadcast while the rules take at most
+    BROADCAST_BYTES, else shuffled) -> one aggregation by row. The partial
     aggregation leaves one record a row before the shuffle, whatever the hosts.
 
     Null ids and urls, empty urls, repeated rows and repeated ids are judged row by
     row; rules with a null part are ignored; without rules or rows the verdict is
-    ``default`` or the result empty. Other columns of either input take no part.
+    ``default`` or the result empty. A very long url has as many expressions as the
+    rules have shapes. Other columns of either input take no part.
 
     Returns ``id_col``, host, path, rule (null if none fits), verdict.
     """
@@ -72,8 +71,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             F.col("ra").alias("action"),
         ).alias("r_hit"),
     )
-    if r.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        r = F.broadcast(r)
+    r = small(r)
     host, path = url_host_path(F.col("_url"))
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"))
     rows = rows.select("_id", F.monotonically_increasing_id().alias("_row"), host.alias("host"), path.alias("path"))
