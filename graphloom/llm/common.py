@@ -28,6 +28,10 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Rows of an Arrow batch while a table is written: a row may be a long text, and buffers grow with a batch.
+BATCH_ROWS = 512
+
+
 class Scratch:
     """Tables written in the shared folder, so that no lineage runs through them.
 
@@ -53,7 +57,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        rows = int(conf.get(key))
+        conf.set(key, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(key, rows)
         # Spark removes shuffle files once the driver's JVM finds them unreachable; a hint lets it look
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)

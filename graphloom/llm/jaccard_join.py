@@ -16,9 +16,9 @@ from .graph import components
 from .wordhash import U, Words, mix, shingles
 
 #: Shingles that a task gathers before it sends them on, and documents among them at most.
-FLUSH, FLUSH_DOCS = 1 << 20, 1 << 16
+FLUSH, FLUSH_DOCS = 1 << 19, 1 << 16
 #: Buckets of shingles for each shuffle partition, at least; a bucket is resolved at once.
-BUCKETS = 1
+BUCKETS = 2
 #: Entries after which a bucket lets go of those that are decided.
 HELD = 4 << 20
 #: Postings of a block; lists are compared block by block.
