@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ def lower_ascii(c: Column) -> Column:
 
 
 #: Rows of an Arrow batch while a table is written: a row may be a long text, and buffers grow with a batch.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 class Scratch:
@@ -120,6 +121,14 @@ def lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def _give_back() -> None:
+    """Freed memory back to the system: a Python worker lives on and would keep it beside its next stage's."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, keep: list[str], ddl: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], rows: int = 256) -> DataFrame:
     """``df`` through Arrow batches of at most ``rows`` rows.
 
@@ -146,6 +155,7 @@ def map_arrow(df: DataFrame, keep: list[str], ddl: str, run: Callable[[Iterator[
                 held = [c.take(pa.array(take)) for c in held]
             new = [cols[n] if isinstance(cols[n], pa.Array) else pa.array(cols[n], kind) for n, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays([*held, *new], names=[*keep, *kinds])
+        _give_back()
 
     return df.mapInArrow(go, schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, runs_by_bytes, table, texts_of
+from .common import Scratch, map_arrow, runs_by_bytes, table, texts_of
 from .wordhash import U, Words
 
 #: Words of a passage.
@@ -181,7 +181,8 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("passages", "key_passage")
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("passages", "key_passage")
+    return Scratch(spark, "quality").save(scored, "scored")  # written here, in small Arrow batches
 
 
 QUERIES = {"op2_quality": op2_quality}
