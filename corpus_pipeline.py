@@ -88,7 +88,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = pii.redact(docs, pii.train(*pii.labelled_windows(docs)), out_col=made)
     new = F.col(f"{made}.text")
     length = F.when(F.col(f"{made}.changed"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumns({"text": new, "n_chars": length}).drop(made)
+    # written here, in small Arrow batches: an executor's buffers grow with what a batch holds
+    return Scratch(spark, "private-stage").save(changed.withColumns({"text": new, "n_chars": length}).drop(made), "redacted")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
