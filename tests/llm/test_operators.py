@@ -540,6 +540,45 @@ def test_pii(spark, docs, none):
     assert time.time() - began < 20
 
 
+def test_pii_every_place(monkeypatch):
+    """Each character of a text is tagged once, with at least 32 characters of the text on either side of it."""
+    from graphloom.llm import pii as P
+
+    def tag(w, x, lengths):
+        out = np.zeros(x.shape, np.int8)
+        for row, to in zip(x, out, strict=True):
+            n = np.flatnonzero(row)[-1] + 1
+            to[0 if row[0] == ord("S") + 1 else 32 : n if row[n - 1] == ord("E") + 1 else n - 32] = 2
+        return out, np.ones(x.shape, np.float32)
+
+    sizes = [*range(2, 1100), 5000, 250_000]
+    texts = ["S" + "x" * (n - 2) + "E" for n in sizes]
+    for t in texts:
+        starts = P.window_starts(t)
+        assert starts[0] == 0 and starts[-1] + P.LENGTH >= len(t) and all(b - a <= P.LENGTH for a, b in zip(starts, starts[1:], strict=False))
+    monkeypatch.setattr(P, "tag", tag)
+    got = P.decoded(texts, {})
+    assert [[s[:3] for s in spans] for spans in got] == [[("email", 0, n)] for n in sizes]
+
+
+def test_pii_posteriors():
+    """Posteriors of long rows, short ones beside them, are those of sums in double precision."""
+    from graphloom.llm import pii as P
+
+    g = np.random.default_rng(4)
+    w = P.weights(g)
+    w["out"] *= 30
+    lengths = np.array([128, 512, 64, 512, 320])
+    x = np.where(np.arange(512) < lengths[:, None], g.integers(1, P.CHARS, (5, 512)), 0).astype(np.uint8)
+    tags, sure = P.tag(w, x, lengths)
+    exact = {k: v.astype(np.float64) for k, v in w.items()}
+    for row, n, t, p in zip(x, lengths, tags, sure, strict=True):
+        e = P._emissions(exact, row[None, :n])[0]
+        post = P._marginals(exact, e)[1][:, 0]
+        assert t[:n].any() and (t[:n] == P._viterbi(exact, e)[0]).mean() > 0.99
+        assert abs(p[:n] - post[np.arange(n), t[:n]]).max() < 2e-3
+
+
 def test_crf_by_enumeration():
     """Viterbi, log Z and the posteriors against all tag sequences; the gradient against differences."""
     from itertools import product
