@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. ``run`` writes each stage's result as Parquet in
-the shared folder and reads it again for the next.
+the shared folder and reads it again for the next. A stage begins by freeing what the
+one before left in the executors' memory, whose frame is only computed after it returned.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, jaccard_join, packing, pii, quality
-from graphloom.llm.common import Scratch, small, table
+from graphloom.llm.common import Scratch, free_executors, small, table
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -43,6 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     score and stay or go together; without labels of both classes the model's
     constant score decides. Further columns, whatever their names, stay.
     """
+    free_executors(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     docs, key = _keyed(docs)
     scored = quality.score_documents(docs.select(F.col(key).alias("k"), "text"), model, "k").filter("predicted = 0").select("k")
@@ -55,6 +57,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words (null, empty, white space) are in no group and all stay; of
     rows that repeat with id and text one stays.
     """
+    free_executors(spark)
     docs, key = _keyed(docs)
     linked = jaccard_join.jaccard_components(docs.select(F.col(key).alias("k"), "text"), "k", n=5, percent=80)
     linked = Scratch(spark, "near-stage").save(linked, "linked")
@@ -74,6 +77,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and empty texts hold none and stay; an empty benchmark lets all stay;
     repeated rows stay or go together.
     """
+    free_executors(spark)
     docs, key = _keyed(docs)
     found = decontaminate.find_contamination(docs.select(F.col(key).alias("k"), "text"), table(spark, sf_dir, "benchmark"), "k")
     return _without(docs, key, Scratch(spark, "leak-stage").save(found.filter("contaminated").select("k"), "rejected"))
@@ -84,6 +88,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are, and no row goes.
     """
+    free_executors(spark)
     made = _fresh(docs, "_redacted")
     changed = pii.redact(docs, pii.train(*pii.labelled_windows(docs)), out_col=made)
     new = F.col(f"{made}.text")
@@ -94,6 +99,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their places in sequences; a null or empty text is its end token."""
+    free_executors(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -60,3 +60,26 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, folder, tmp_path):
         out = stage(spark, clash, str(tmp_path))
         assert out.columns == clash.columns and out.agg({"_key": "max", "k": "max", "_changed": "max"}).count() == 1, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_free_what_the_last_one_left(spark, folder, monkeypatch):
+    """Every stage begins by letting the executors collect, before it reads anything."""
+    from graphloom.llm import common
+
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+
+    before = collections()
+    common.free_executors(spark)
+    assert collections() > before  # a local session's executor is the driver's JVM
+
+    class Freed(Exception):
+        pass
+
+    def freed(_):
+        raise Freed
+
+    monkeypatch.setattr(corpus_pipeline, "free_executors", freed)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Freed):
+            stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
