@@ -579,6 +579,39 @@ def test_pii_posteriors():
         assert abs(p[:n] - post[np.arange(n), t[:n]]).max() < 2e-3
 
 
+def test_pii_scores_and_rows_of_unlike_length():
+    """Scores are the network's own, and rows that start at different places are decoded as alone."""
+    from graphloom.llm import pii as P
+
+    g = np.random.default_rng(6)
+    w = P.weights(g)
+    for k in ("next", "first"):
+        w[k] = g.normal(size=w[k].shape).astype(np.float32)
+    exact = {k: v.astype(np.float64) for k, v in w.items()}
+    sizes = np.array([320, 256, 256, 64])
+    x = np.where(np.arange(320) < sizes[:, None], g.integers(1, P.CHARS, (4, 320)), 0).astype(np.uint8)
+    e = P._scores(w, x, (sizes[None] > np.arange(320)[:, None]).sum(axis=1))
+    lined, starts = np.zeros((320, 4, P.TAGS), np.float32), 320 - sizes
+    for j, n in enumerate(sizes):
+        h, c, want = np.zeros(P.HIDDEN), np.zeros(P.HIDDEN), []
+        for code in x[j, :n]:  # the forward half, by the textbook
+            i, f, o, u = np.split(exact["inf"][code] + h @ exact["ref"], 4)
+            c = c / (1 + np.exp(-f)) + np.tanh(u) / (1 + np.exp(-i))
+            h = np.tanh(c) / (1 + np.exp(-o))
+            want.append(h)
+        assert abs(P._lstm(exact, "f", x[j : j + 1, :n])[0][:, 0] - want).max() < 1e-9
+        assert abs(e[:n, :, j] - P._emissions(exact, x[j : j + 1, :n])[0][:, 0]).max() < 1e-4
+        lined[starts[j] :, j] = e[:n, :, j]
+    best, post = P._viterbi(w, lined, starts), P._posteriors(w, lined, starts)
+    for j, s in enumerate(starts):
+        alone = lined[s:, j : j + 1].astype(np.float64)
+        assert (best[j, s:] == P._viterbi(w, lined[s:, j : j + 1])[0]).all()
+        assert abs(post[s:, j] - P._marginals(exact, alone, False)[1][:, 0]).max() < 1e-9
+    far = np.where(np.arange(P.TAGS) == np.arange(6)[:, None, None] % 2, 1000.0, 0.0)  # beyond exponentials
+    barred = exact | {"next": np.where(np.eye(P.TAGS) > 0, 0.0, -900.0)}
+    assert abs(P._posteriors(barred, far) - P._marginals(barred, far, False)[1]).max() < 1e-9
+
+
 def test_crf_by_enumeration():
     """Viterbi, log Z and the posteriors against all tag sequences; the gradient against differences."""
     from itertools import product
