@@ -612,6 +612,25 @@ def test_pii_scores_and_rows_of_unlike_length():
     assert abs(P._posteriors(barred, far) - P._marginals(barred, far, False)[1]).max() < 1e-9
 
 
+def test_pii_scores_by_exponentials_alone(monkeypatch):
+    """Gates far beyond the range of an exponential have their limits, and rows of one and of many lengths go both ways; no tanh is taken."""
+    from graphloom.llm import pii as P
+
+    g = np.random.default_rng(8)
+    sizes = np.array([192, 192, 130, 64, 1])
+    x = np.where(np.arange(192) < sizes[:, None], g.integers(1, P.CHARS, (5, 192)), 0).astype(np.uint8)
+    for size in (1, 400):  # at 400, exponents reach 1,000 and more
+        w = P.weights(g)
+        for d in "fb":
+            w["in" + d] = w["in" + d] * np.float32(size)
+        want = [P._emissions({k: v.astype(np.float64) for k, v in w.items()}, x[j : j + 1, :n])[0][:, 0] for j, n in enumerate(sizes)]
+        with monkeypatch.context() as no, np.errstate(all="raise", under="ignore"):
+            no.setattr(P.np, "tanh", None)
+            e = P._scores(w, x, (sizes[None] > np.arange(192)[:, None]).sum(axis=1))
+        for j, n in enumerate(sizes):
+            assert abs(e[:n, :, j] - want[j]).max() < 1e-4
+
+
 def test_crf_by_enumeration():
     """Viterbi, log Z and the posteriors against all tag sequences; the gradient against differences."""
     from itertools import product
