@@ -631,6 +631,47 @@ def test_pii_scores_by_exponentials_alone(monkeypatch):
             assert abs(e[:n, :, j] - want[j]).max() < 1e-4
 
 
+def test_pii_scores_by_graph(monkeypatch):
+    """The graph's scores are the network's and numpy's, also far beyond the range of an exponential; numpy stands in where onnxruntime is missing."""
+    from graphloom.llm import pii as P
+
+    assert P.lstm_session(P.HIDDEN, P.TAGS) is not None
+    g = np.random.default_rng(12)
+    sizes = np.array([200, 200, 130, 64, 64, 1])
+    x = np.where(np.arange(200) < sizes[:, None], g.integers(1, P.CHARS, (6, 200)), 0).astype(np.uint8)
+    active = (sizes[None] > np.arange(200)[:, None]).sum(axis=1)
+    for size in (1, 400):
+        w = P.weights(g)
+        for d in "fb":
+            w["in" + d] = w["in" + d] * np.float32(size)
+        graph = P._scores(w, x, active)
+        with monkeypatch.context() as no:
+            no.setattr(P, "lstm_session", lambda *a: None)
+            plain = P._scores(w, x, active)
+        for j, n in enumerate(sizes):
+            want = P._emissions({k: v.astype(np.float64) for k, v in w.items()}, x[j : j + 1, :n])[0][:, 0]
+            assert abs(graph[:n, :, j] - want).max() < 1e-4 and abs(plain[:n, :, j] - want).max() < 1e-4
+
+
+def test_pii_doubtful_rows_together(monkeypatch):
+    """Doubtful rows of all batches of a call are decoded together, with the results that each has alone."""
+    from graphloom.llm import pii as P
+
+    g = np.random.default_rng(13)
+    w = P.weights(g)
+    w["out"] *= 10
+    lengths = g.integers(1, 100, 600)
+    x = np.where(np.arange(100) < lengths[:, None], g.integers(1, P.CHARS, (600, 100)), 0).astype(np.uint8)
+    alone = [P.tag(w, x[j : j + 1], lengths[j : j + 1]) for j in range(600)]
+    calls, viterbi = [], P._viterbi
+    monkeypatch.setattr(P, "TOGETHER", 20)
+    monkeypatch.setattr(P, "_viterbi", lambda w, e, starts: calls.append(e.shape[1]) or viterbi(w, e, starts))
+    tags, sure = P.tag(w, x, lengths)
+    assert sum(calls) > 300 and len(calls) == -(-sum(calls) // 256)  # 30 batches
+    for (t, p), row, q in zip(alone, tags, sure, strict=True):
+        assert (t[0] == row).mean() > 0.99 and (abs(p[0] - q)[t[0] == row] < 1e-3).all()
+
+
 def test_crf_by_enumeration():
     """Viterbi, log Z and the posteriors against all tag sequences; the gradient against differences."""
     from itertools import product
